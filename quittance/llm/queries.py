@@ -4,13 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import license_scan, mixing
 from .common import read
 from .near_dup import near_duplicates
+from .quality import score_quality
+from .toxicity import score_toxicity
+from .url_filter import RULES, filter_urls
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_near_dedup": op3_near_dedup}
-ORACLE: dict[str, str] = {}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(read(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read(spark, sf_dir, "pages"), RULES)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_license_scan, op3_near_dedup, op7_toxicity, op8_mixing, op9_url_filter, op10_quality)}
+ORACLE = {"op2_license_scan": license_scan.oracle(), "op8_mixing": mixing.ORACLE}
