@@ -3,8 +3,8 @@
 1. Every text gives its set of 5-word shingle hashes, one permutation of which fills 128 bins; an empty bin borrows from
    the first filled one in its own random order of bins (optimal densification).
 2. Equal sets become one class, represented by its least doc_id: copies cost one row, however many there are.
-3. 32 bands of 4 bins make buckets of classes. Each bucket gives star edges to its least class; edges are verified on the
-   full sets and joined to components.
+3. 32 bands of 4 bins make buckets of classes. Each bucket gives star edges to its least class, a large one also to the least
+   class of random parts; edges are verified on the full sets and joined to components.
 4. Buckets that still hold several components would lose links between leaves. Small ones give their open pairs; those of
    large ones meet by exact prefix filtering (two sets this similar share one of their rarest shingles) instead. All are
    verified, and components are taken again.
@@ -27,8 +27,11 @@ from .wordhash import chunks, mix, shingle_sets
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: A bucket of more classes than this is resolved by prefix filtering.
-SMALL_BUCKET = 64
+#: Classes in a random part of a large bucket, ways to make parts; a bucket of more classes than SMALL_BUCKET that still holds
+#: several components is resolved by prefix filtering.
+PART, ROUNDS, SMALL_BUCKET = 8, 2, 64
+#: Longs of the bit set that bounds how much two prefixes share.
+WORDS = 16
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
 _ORDER = np.stack([np.concatenate(([i], r[r != i])) for i in range(BINS) for r in [np.random.default_rng(7000 + i).permutation(BINS)]])
 _LANES = np.arange(BINS)
@@ -80,29 +83,50 @@ def _sets(n: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, n: int, percent: int) -> DataFrame:
-    """Of (u, v), those whose full shingle sets are similar enough. Only texts that stand in a pair are read again."""
-    nodes = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = scratch.write(docs.join(nodes, "doc_id", "left_semi").mapInArrow(_sets(n), "node long, shingles array<long>"), f"{name}-sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    shared = both.select("u", "v", (F.size("a") + F.size("b")).cast("long").alias("total"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of (u, v), those whose full shingle sets are similar enough. Merge joins: neither side has a bounded size."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")).hint("merge") for x in "uv")
+    both = pairs.join(a, "u").join(b, "v")
+    shared = both.select("u", "v", (F.size("s_u") + F.size("s_v")).cast("long").alias("total"), F.size(F.array_intersect("s_u", "s_v")).cast("long").alias("shared"))
     return shared.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("u", "v").distinct()
 
 
-def _by_prefix(members: DataFrame, docs: DataFrame, component: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
-    """Pairs (u, v) of different components among the given nodes that share one of their rarest shingles: all pairs of the
-    wanted similarity are among them. The rarest are size - ceil(size * percent / 100) + 1 of a set."""
-    sets = scratch.write(docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(n), "node long, shingles array<long>"), "open-sets")
-    rows = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+def _by_prefix(members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components among members (node, component) that share one of their rarest shingles: all
+    pairs of the wanted similarity are among them. The rarest are size - ceil(size * percent / 100) + 1 of a set."""
+    rows = sets.join(members.hint("merge"), "node").select("node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
     often = rows.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
     # shingles of one set only can't be shared; they fill the prefix first
-    ranked = rows.join(often, "s").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("r"))
+    ranked = rows.join(often, "s").groupBy("node", "component", "size").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("r"))
     keep = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.size("r"))
-    prefix = ranked.withColumn("keep", keep.cast("int")).where("keep > 0").select("node", "size", F.explode(F.expr("slice(r, 1, keep)")).alias("r")).select("node", "size", "r.s").join(component, "node")
-    prefix = scratch.write(prefix, "open-prefix")
-    a, b = (prefix.select("s", F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("component").alias(f"c_{x}")) for x in "uv")
-    met = a.join(b, "s").where("u < v and c_u <> c_v").where(f"least(size_u, size_v) * 100 >= greatest(size_u, size_v) * {percent}")
-    return met.select("u", "v").distinct()
+    ranked = ranked.withColumn("keep", keep.cast("int")).where("keep > 0").withColumn("p", F.expr("transform(slice(r, 1, greatest(keep, 0)), x -> x.s)"))
+    bits = [F.expr(f"aggregate(p, 0L, (a, x) -> if(pmod(x, {WORDS}) = {k}, a | shiftleft(1L, cast(pmod(shiftrightunsigned(x, 8), 64) as int)), a))").alias(f"b{k}") for k in range(WORDS)]
+    prefix = ranked.select("node", "component", "size", F.size("r").alias("common"), F.size("p").alias("held"), "p", *bits)
+    prefix = prefix.withColumn("crowd", F.col("held") - sum((F.bit_count(f"b{k}") for k in range(WORDS)), F.lit(0))).withColumn("after", F.ceil(F.col("size") * percent / 100) - 1)
+    names = ["node", "component", "size", "common", "crowd", "after", *[f"b{k}" for k in range(WORDS)]]
+    prefix = scratch.write(prefix.select(*names, F.explode("p").alias("s")), "open-prefix")
+    a, b = (prefix.select("s", *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "uv")
+    # two sets share no more than the lesser number of members that either has in common with any other, and no more than
+    # their prefixes share (at most the bits both have set and the members that found theirs taken) and what follows them
+    enough = lambda most: f"100 * {most} >= {percent} * (size_u + size_v - {most})"
+    both = " + ".join(f"bit_count(b{k}_u & b{k}_v)" for k in range(WORDS))
+    fits = f"node_u < node_v and component_u <> component_v and {enough('least(common_u, common_v)')} and {enough(f'({both} + least(crowd_u, crowd_v) + greatest(after_u, after_v))')}"
+    return a.join(b, "s").where(fits).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
+
+
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v): in each bucket, every class with the least one; in buckets of more than PART, also every class with the
+    least one of its random part, for each of ROUNDS ways to make parts. As many pairs as members at most, times ROUNDS + 1."""
+    parts = [members.withColumn("part", F.lit(0).cast("long"))]
+    for k in range(ROUNDS):
+        salt = F.pmod(F.xxhash64("node", F.lit(k)), F.ceil(F.col("n") / PART))
+        parts.append(members.where(F.col("n") > PART).withColumn("part", (k + 1) * F.lit(1 << 40) + salt))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.union(more)
+    least = every.groupBy("band", "key", "part").agg(F.min(F.struct("node", "n_shingles")).alias("c"))
+    met = every.join(least, ["band", "key", "part"]).where("node <> c.node").where(F.least("n_shingles", "c.n_shingles") * 100 >= F.greatest("n_shingles", "c.n_shingles") * percent)
+    return met.select(F.col("c.node").alias("u"), F.col("node").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -119,28 +143,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = scratch.write(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
 
     rows = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("center")).where("n > 1")
-    members = scratch.write(rows.join(shared, ["band", "key"]), "members")
-    size_fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-    least = members.where("node = center").select("band", "key", F.col("n_shingles").alias("center_n"))
-    star = members.where("node <> center").join(least, ["band", "key"]).where(size_fits(F.col("n_shingles"), F.col("center_n"))).select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-    star = scratch.write(star, "star")
-    links = scratch.write(_verified(star, docs, scratch, "star", n, percent), "links")
-    scratch.drop("star-sets")
+    shared = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    members = scratch.write(rows.join(shared.hint("merge"), ["band", "key"]), "members")
+    met = members.select(F.col("node").alias("doc_id")).distinct()
+    sets = scratch.write(docs.join(met.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(n), "node long, shingles array<long>"), "sets")
+
+    stars = scratch.write(_stars(members, percent), "stars")
+    links = scratch.write(_verified(stars, sets, percent), "links")
     first = scratch.write(connected_components(links, scratch, "cc1"), "first")
 
     member = members.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    bucket = member.groupBy("band", "key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.first("n").alias("size")).where("c1 <> c2").select("band", "key", "size")
-    still = scratch.write(member.join(bucket, ["band", "key"]).select("band", "key", "size", "node", "n_shingles", "component"), "open")
-    small = still.where(F.col("size") <= SMALL_BUCKET)
+    bucket = member.groupBy("band", "key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("band", "key")
+    still = scratch.write(member.join(bucket, ["band", "key"]).select("band", "key", "n", "node", "n_shingles", "component"), "open")
+    scratch.drop("members")
+    small = still.where(F.col("n") <= SMALL_BUCKET)
     a, b = (small.select("band", "key", F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("component").alias(f"c_{x}")) for x in "uv")
-    open_pairs = a.join(b, ["band", "key"]).where("u < v and c_u <> c_v").where(size_fits(F.col("n_u"), F.col("n_v"))).select("u", "v").distinct()
-    large = still.where(F.col("size") > SMALL_BUCKET).select("node", "component").distinct()
-    open_pairs = open_pairs.union(_by_prefix(large.select("node"), docs, large, scratch, n, percent)).distinct()
-    open_pairs = scratch.write(open_pairs.join(star, ["u", "v"], "left_anti"), "open-pairs")
-    more = scratch.write(_verified(open_pairs, docs, scratch, "more", n, percent), "more-links")
-    scratch.drop("more-sets", "open-sets", "open-prefix", "open-pairs", "open", "members", "star")
+    pairs = a.join(b, ["band", "key"]).where("u < v and c_u <> c_v").where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent).select("u", "v")
+    large = still.where(F.col("n") > SMALL_BUCKET).select("node", "component").distinct()
+    pairs = pairs.union(_by_prefix(large, sets, scratch, percent)).distinct()
+    pairs = scratch.write(pairs.join(stars, ["u", "v"], "left_anti"), "open-pairs")
+    more = scratch.write(_verified(pairs, sets, percent), "more-links")
+    scratch.drop("sets", "open-prefix", "open-pairs", "open", "stars")
     joined = scratch.write(connected_components(links.union(more), scratch, "cc2"), "joined")
     scratch.drop("links", "more-links", "first")
 
@@ -153,5 +176,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group, all columns as they were; rows without doc_id stay."""
     keep = near_duplicates(docs, id_col=id_col, text_col=text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+    known = docs.where(F.col(id_col).isNotNull()).join(keep.hint("merge"), F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
     return known.union(docs.where(F.col(id_col).isNull()))
