@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import license_scan, mixing
+from .ann import nearest_neighbours
 from .common import read
+from .fingerprints import fingerprint_edits
 from .near_dup import near_duplicates
+from .packing import pack_documents
 from .quality import score_quality
+from .substring_dedup import substring_duplicates
 from .toxicity import score_toxicity
 from .url_filter import RULES, filter_urls
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -20,6 +28,18 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -36,5 +56,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_near_dedup, op7_toxicity, op8_mixing, op9_url_filter, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_near_dedup, op4_substring_dedup, op5_ann, op6_fingerprints, op7_toxicity, op8_mixing, op9_url_filter, op10_quality)}
 ORACLE = {"op2_license_scan": license_scan.oracle(), "op8_mixing": mixing.ORACLE}
