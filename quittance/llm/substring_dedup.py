@@ -269,12 +269,14 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """docs with the kept words, joined by one space, as the text of documents that lose words; other rows and columns stay."""
     ranges = repeated_ranges(_keyed(docs, id_col, text_col), Scratch(docs.sparkSession)).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("ranges").alias("_ranges"))
 
+    width = len(docs.columns)
+
     def run(batches):
         for batch in batches:
             k = batch.schema.get_field_index(text_col)
             text = [t.as_py() if not r.is_valid else b" ".join(_kept_words(t.as_py(), r.as_py())[0]).decode() for t, r in zip(batch.column(k), batch.column("_ranges"), strict=True)]
-            columns = [pa.array(text, batch.schema.field(k).type) if j == k else batch.column(j) for j in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[: len(columns)])
+            columns = [pa.array(text, batch.schema.field(k).type) if j == k else batch.column(j) for j in range(width)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:width])
 
     met = docs.join(ranges.hint("merge"), (docs[id_col].cast("long") == F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_tk")), "left")
     return met.select(*[docs[c] for c in docs.columns], "_ranges").mapInArrow(run, docs.schema)
