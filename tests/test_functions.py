@@ -1,0 +1,93 @@
+"""Text rules against tables of inputs and outputs."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from quittance.functions import dates, fixed, money, names
+from quittance.functions.receipt import parse_receipt
+
+CATEGORIES = [*fixed.CATEGORY_WORDS, fixed.OTHER_CATEGORY]
+
+
+def column(spark, rows, make, schema="a string, b string"):
+    """make(a, b) for each row, in order."""
+    width = len(schema.split(","))
+    data = [(k, *(r if isinstance(r, tuple) else (r,)), *([None] * (width - (len(r) if isinstance(r, tuple) else 1)))) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(data, f"k int, {schema}")
+    return [r["v"] for r in df.select("k", make(F.col("a"), F.col("b")).alias("v")).orderBy("k").collect()]
+
+
+def test_parse_number(spark):
+    table = [("10.000", "10000.00"), ("1.234,56", "1234.56"), ("1,234.56", "1234.56"), ("44.000,-", "44000.00"), ("5", "5.00"), ("0.99", "0.99"), (",5", "0.50"), ("-12", "12.00"), ("1.234.567", "1234567.00"), ("abc", None), ("", None), (None, None), ("Rp 7.5", "7.50"), ("1.2345", "12345.00")]
+    assert [None if v is None else str(v) for v in column(spark, [(a, None) for a, _ in table], lambda a, b: money.parse_number(a))] == [v for _, v in table]
+
+
+def test_detect_currency(spark):
+    table = [("Total $5.00", "USD"), ("US$ 3", "USD"), ("BUSD 5", "-"), ("S$ 5", "-"), ("Rp 10.000", "IDR"), ("rupiah", "IDR"), ("Rp5 and $5", "-"), ("Rp 5 and $5", "-"), ("USDA", "-"), ("usd 3", "USD"), ("", "-"), (None, "-"), ("$$ 5", "-"), ("Rp 1 Rp 2 $3", "IDR")]
+    assert column(spark, [(a, None) for a, _ in table], lambda a, b: money.detect_currency(a, "-")) == [v for _, v in table]
+
+
+def test_extract_amount(spark):
+    table = [
+        ("Item 5.000\nTotal 44.000\nTunai 50.000\nKembali 6.000", "44000"), ("Subtotal 40.000\nGrand Total 44.000", "44000"), ("Subtotal $9.00\nTotal $9.90", "9.90"), ("Irand Tolal 66.000\nBayar 50.000", "66000"),
+        ("Total 10.000\n99.000", "10000"), ("12.500\n8.000", "12500"), ("Total 3", ""), ("no numbers", ""), ("Total 1234567890", ""), ("Diskon 90.000\nTotal 10.000", "10000"), ("Total 0.99 USD", "0.99"),
+    ]
+    assert column(spark, [(a, None) for a, _ in table], lambda a, b: money.format_amount(money.extract_amount(a, F.lit("")))) == [v for _, v in table]
+
+
+def test_format_amount_and_money(spark):
+    df = spark.sql("select * from values (1234.5d, 'USD'), (44000d, 'IDR'), (0.1d, ''), (cast(null as double), 'IDR') as t(a, b)")
+    out = df.select(money.format_money(F.col("a"), F.col("b")).alias("m"), money.format_amount(F.col("a")).alias("f"), money.plain_money(F.col("a")).alias("p")).collect()
+    assert [tuple(r) for r in out] == [("USD 1,234.50", "1234.50", "1234.50"), ("IDR 44,000", "44000", "44000.00"), ("0.10", "0.10", "0.10"), (None, "", None)]
+
+
+def test_cents(spark):
+    df = spark.sql("select * from values ('0.30000000000000004'), ('19.999999999'), ('2.675'), ('0.125'), ('-1.005'), ('abc'), ('NaN'), (null) as t(a)")
+    assert [r[0] for r in df.select(money.cents(F.col("a"))).collect()] == [30, 2000, 268, 13, -101, None, None, None]
+
+
+def test_extract_date(spark):
+    table = [
+        ("2026-07-14", "", "2026-07-14"), ("12 Agustus 2024", "", "2024-08-12"), ("12-Agu-24", "", "2024-08-12"), ("03 JUN,26", "", "2026-06-03"), ("Aug 17, 2026", "", "2026-08-17"), ("July 14th 2026", "", "2026-07-14"),
+        ("05/03/2026", "", "2026-03-05"), ("05/03/2026", "USD", "2026-05-03"), ("25/12/2026", "USD", "2026-12-25"), ("12/25/2026", "", "2026-12-25"), ("31/02/2026 then 01/03/2026", "", "2026-03-01"), ("1899-01-01", "", None),
+        ("none", "", None), ("99/99/99", "", None), ("tgl 5.6.69", "", "2069-06-05"), ("tgl 5.6.70", "", None), ("tgl 5.6.91", "", "1991-06-05"), ("2026-13-01 and 2026/1/9", "", "2026-01-09"),
+    ]
+    assert column(spark, [r[:2] for r in table], dates.extract_date) == [r[2] for r in table]
+
+
+def test_parse_date_input(spark):
+    table = [("2026-07-14", "", "2026-07-14"), ("14/07/2026", "", "2026-07-14"), ("14.07.2026", "", "2026-07-14"), ("2026/7/4", "", "2026-07-04"), ("05/03/26", "", "2026-03-05"), ("05/03/26", "USD", "2026-05-03"), ("25/12/2026", "USD", "2026-12-25"), ("Aug 7, 2026", "", "2026-08-07"), ("August 7 2026", "", "2026-08-07"), ("05/03/69", "", "1969-03-05"), ("05/03/68", "", "2068-03-05"), ("soon", "", None), ("", "", None), (None, "", None), ("31/02/2026", "", None)]
+    assert column(spark, [r[:2] for r in table], dates.parse_date_input) == [r[2] for r in table]
+
+
+def test_extract_name(spark):
+    table = [("TOKO MAJU JAYA\nJl. Mangga 5\n", "TOKO MAJU JAYA"), ("*** STRUK ***\nWarung Kopi Senja", "Warung Kopi Senja"), ("12345\n0812-3456\n", None), ("a b c d\nKedai Enak Sekali", "Kedai Enak Sekali"), ("", None), ("Garbled line\nBIG STORE NAME", "BIG STORE NAME")]
+    assert column(spark, [(a, None) for a, _ in table], lambda a, b: names.extract_name(a)) == [v for _, v in table]
+
+
+def test_guess_category(spark):
+    table = [("Grab ride outside KFC", "Transportasi"), ("GrabFood order", "Makanan & Minuman"), ("nothing", "Lainnya"), (None, "Lainnya"), ("Apotek Sehat", "Kesehatan"), ("kitchen", "Makanan & Minuman")]
+    assert column(spark, [(a, None) for a, _ in table], lambda a, b: names.guess_category(a, CATEGORIES)) == [v for _, v in table]
+    assert column(spark, [("x", None)], lambda a, b: names.guess_category(a, ["A", "B"])) == ["B"]
+    assert column(spark, [("x", None)], lambda a, b: names.guess_category(a, [])) == [""]
+
+
+def test_merchant_and_address(spark):
+    table = [("Pesanan dari: Bakmi GM, Jl. Sunda 5", "Bakmi GM"), ("hello\nToko Maju Jl. Mangga No.9", "Maju"), ("Merchant: ab", "Sender"), ("", "Sender")]
+    assert column(spark, [(a, None) for a, _ in table], lambda a, b: names.merchant_guess(a, F.lit("Sender"), F.lit("a@b"))) == [v for _, v in table]
+    assert column(spark, [("Warung  A - Blok C, x", None)], lambda a, b: names.trim_address(a)) == ["Warung A"]
+
+
+def test_titles_and_safe_names(spark):
+    assert column(spark, [("  Straße  Café ", None), ("STRASSE CAFÉ", None), (None, None)], lambda a, b: names.normalize_title(a)) == ["strasse café", "strasse café", ""]
+    assert column(spark, [("../a b?.png", None), ("***", None)], lambda a, b: names.safe_name(a)) == ["a_b_.png", "attachment"]
+    assert column(spark, [("a ​\U0001f600 b", None)], lambda a, b: names.sanitize(a)) == ["a b"]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("TOKO MAJU JAYA\nJl. Mangga 12\n16/06/2026\nNasi goreng 44.000\nTotal Rp 44.000", ("2026-06-16", "Makanan & Minuman", "TOKO MAJU JAYA", "44000", "IDR")),
+    ("Coffee House\n03/04/2026\nLatte $5.50\nTax $0.44\nTotal $5.94", ("2026-03-04", "Makanan & Minuman", "Coffee House", "5.94", "USD")),
+    ("   ", ("F", "Lainnya", "", "", "")), (None, ("F", "Lainnya", "", "", "")),
+])
+def test_parse_receipt(spark, text, want):
+    assert tuple(column(spark, [(text, None)], lambda a, b: parse_receipt(a, CATEGORIES, "F", "IDR"))[0]) == want
