@@ -24,7 +24,7 @@ from .common import Scratch
 from .wordhash import BASE, INVERSE, Chunk, chunks, grams, mix, powers
 
 #: Words of a window, of a gram; windows of a segment; words of a shard's text; distinct segments of a name in a shard.
-WINDOW, GRAM, RUN, SHARD_WORDS, HOT = 50, 8, 64, 150_000, 1_024
+WINDOW, GRAM, RUN, SHARD_WORDS, HOT = 50, 8, 64, 150_000, 8_192
 
 
 def window_names(words: np.ndarray) -> np.ndarray:
