@@ -17,7 +17,7 @@ from .common import Scratch
 
 #: Distinct vectors that pivots are chosen from (the least by hash), pivots, places of a representation, share of a block that
 #: is scored and least number of it, vectors of a block, queries that meet a block at once.
-SAMPLE, PIVOTS, PLACES, SHARE, LEAST, BLOCK, QUERIES = 4096, 256, 64, 0.15, 256, 4096, 4096
+SAMPLE, PIVOTS, PLACES, SHARE, LEAST, BLOCK, QUERIES = 4096, 256, 64, 0.15, 512, 4096, 4096
 #: Share of the most that two orders can agree, from which entries are scored whatever their number.
 ALIKE = 0.7
 

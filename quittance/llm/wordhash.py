@@ -105,7 +105,8 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of n words in a row; as many as there are words, the last n-1 of which run past the end and mean nothing."""
     out = np.zeros(len(words), np.uint64)
     for k, factor in enumerate(powers(0xD1342543DE82EF95, n + 1)[1 : n + 1]):
-        out[: len(words) - k] += words[k:] * factor
+        if k < len(words):
+            out[: len(words) - k] += words[k:] * factor
     return mix(out)
 
 
