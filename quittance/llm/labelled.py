@@ -25,8 +25,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, *,
         yield row["_text"], row["_y"]
 
 
-def thin(sets: list[set], most: float = 0.5) -> list[int]:
-    """Indices of the sets that share less than ``most`` of their rarer members with an earlier one, so that copies of one
+def thin(sets: list[list], most: float = 0.5) -> list[int]:
+    """Indices of the sets (lists without repeats) that share less than ``most`` of their rarer members with an earlier one, so that copies of one
     text count once."""
     often: dict = {}
     for s in sets:

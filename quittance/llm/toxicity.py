@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .labelled import held_out, thin, training_rows
 
 #: Labelled documents learned from at most; neighbours; examples in a block; least likelihood ratio and most terms.
-SAMPLE, NEIGHBOURS, BLOCK, EVIDENCE, TERMS = 8_000, 25, 64, 25.0, 4_096
+SAMPLE, NEIGHBOURS, BLOCK, EVIDENCE, TERMS = 4_000, 25, 64, 25.0, 4_096
 THRESHOLD = 0.5
 _TERM = re.compile(r"[^\W\d_]+")
 
@@ -113,21 +113,28 @@ class Model:
 
 def fit(rows: Iterable[tuple[str, int]]) -> Model:
     """Of (text, label); texts are dropped at once, their distinct terms are kept until the vocabulary is known."""
+    number: dict[str, int] = {}
     bags, labels = [], []
     for text, y in rows:
-        bags.append(terms(text))
+        found = terms(text)
+        bags.append((np.fromiter((number.setdefault(t, len(number)) for t in found), np.int32, len(found)), np.fromiter(found.values(), np.int32, len(found))))
         labels.append(y)
-    kept = thin([set(b) for b in bags])
+    kept = thin([ids.tolist() for ids, _ in bags])
     bags, y = [bags[k] for k in kept], np.array([labels[k] for k in kept], float)
     n1, n = int(y.sum()), len(y)
     share = (n1 + 0.5) / (n + 1)
-    df = Counter(t for b in bags for t in b)
-    df1 = Counter(t for b, l in zip(bags, y, strict=True) if l for t in b)
-    names = sorted(t for t, k in df.items() if k >= 3) if 0 < n1 < n else []
-    if names:
-        a = np.array([df1[t] for t in names], float)
-        ratio = _ratio(a, np.array([df[t] for t in names]) - a, n1, n - n1)
-        names = sorted(names[k] for k in np.argsort(-ratio, kind="stable")[:TERMS] if ratio[k] >= EVIDENCE)
+    df, df1 = np.zeros(len(number)), np.zeros(len(number))
+    for (ids, _), label in zip(bags, y, strict=True):
+        df[ids] += 1
+        df1[ids] += label
+    ratio = np.where(df >= 3, _ratio(df1, df - df1, n1, n - n1), 0) if 0 < n1 < n else np.zeros(len(number))
+    telling = [k for k in np.argsort(-ratio, kind="stable")[:TERMS].tolist() if ratio[k] >= EVIDENCE]
+    spelled = list(number)
+    telling.sort(key=lambda k: spelled[k])
+    names, df = [spelled[k] for k in telling], {spelled[k]: df[k] for k in telling}
+    del number, spelled
+    at = {k: j for j, k in enumerate(telling)}
+    bags = [Counter({names[at[i]]: c for i, c in zip(ids.tolist(), counts.tolist(), strict=True) if i in at}) for ids, counts in bags]
     model = Model({t: k for k, t in enumerate(names)}, np.array([np.log((n + 1) / (df[t] + 0.5)) for t in names]), None, y, share, share)
     vectors = [model.vector(b) for b in bags]
     model.index = BlockMaxIndex.build(vectors, max(len(names), 1))
