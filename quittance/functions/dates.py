@@ -26,7 +26,8 @@ def _first(text: Column, pattern: str, date) -> Column:
     """The first match of a pattern that is a valid date; date maps the text of its groups to ISO or null."""
     found = F.regexp_extract_all(text, F.lit(r"(?U)" + pattern), F.lit(0))
     inner = r"(?U)^" + pattern.removeprefix(r"\b").removesuffix(r"\b")
-    dates = F.transform(found, lambda m: date(*[F.regexp_extract(m, inner, k) for k in (1, 2, 3)]))
+    groups = F.transform(found, lambda m: F.struct(*[F.regexp_extract(m, inner, k).alias(g) for k, g in ((1, "a"), (2, "b"), (3, "c"))]))
+    dates = F.transform(groups, lambda g: date(g["a"], g["b"], g["c"]))
     return F.try_element_at(F.filter(dates, lambda d: d.isNotNull()), F.lit(1))
 
 
