@@ -14,7 +14,7 @@ A pair at similarity 0.75 shares no band with probability 5e-6; that is the only
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ BANDS = BINS // ROWS
 #: Classes in a random part of a large bucket, ways to make parts; a bucket of more classes than SMALL_BUCKET that still holds
 #: several components is resolved by prefix filtering.
 PART, ROUNDS, SMALL_BUCKET = 8, 2, 64
-#: Longs of the bit set that bounds how much two prefixes share.
-WORDS = 16
+#: Longs of the bit set that bounds how much two sets share.
+WORDS = 64
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
 _ORDER = np.stack([np.concatenate(([i], r[r != i])) for i in range(BINS) for r in [np.random.default_rng(7000 + i).permutation(BINS)]])
 _LANES = np.arange(BINS)
@@ -51,7 +51,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return mix((mix(signature(shingles)).reshape(BANDS, ROWS) * _SALT).sum(1, dtype=np.uint64)).view(np.int64)
 
 
-def _signatures(n: int):
+def _signatures(n: int, band_keys: Callable[[np.ndarray], np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(1)):
@@ -92,26 +92,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _by_prefix(members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs (u, v) of different components among members (node, component) that share one of their rarest shingles: all
-    pairs of the wanted similarity are among them. The rarest are size - ceil(size * percent / 100) + 1 of a set."""
-    rows = sets.join(members.hint("merge"), "node").select("node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
-    often = rows.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
+    """Pairs (u, v) of different components among members (node, component) that share one of the first shingles of their sets,
+    in an order that all sets keep: those of one set first, then those of two, then all others. All pairs of the wanted
+    similarity are among them; the first are size - ceil(size * percent / 100) + 1 of a set."""
+    held = sets.join(members.hint("merge"), "node")
+    often = held.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n <= 2")
+    rare = often.select("s", "n", F.explode(F.array_distinct(F.array("a", "b"))).alias("node")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("rare"))
+    alone = lambda n: F.transform(F.filter(F.coalesce("rare", F.array().cast("array<struct<n:bigint,s:bigint>>")), lambda x: x["n"] == n), lambda x: x["s"])
+    ranked = held.join(rare, "node", "left").select("node", "component", F.size("shingles").alias("size"), "shingles", alone(1).alias("one"), alone(2).alias("two"))
     # shingles of one set only can't be shared; they fill the prefix first
-    ranked = rows.join(often, "s").groupBy("node", "component", "size").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("r"))
-    keep = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.size("r"))
-    ranked = ranked.withColumn("keep", keep.cast("int")).where("keep > 0").withColumn("p", F.expr("transform(slice(r, 1, greatest(keep, 0)), x -> x.s)"))
-    bits = [F.expr(f"aggregate(p, 0L, (a, x) -> if(pmod(x, {WORDS}) = {k}, a | shiftleft(1L, cast(pmod(shiftrightunsigned(x, 8), 64) as int)), a))").alias(f"b{k}") for k in range(WORDS)]
-    prefix = ranked.select("node", "component", "size", F.size("r").alias("common"), F.size("p").alias("held"), "p", *bits)
-    prefix = prefix.withColumn("crowd", F.col("held") - sum((F.bit_count(f"b{k}") for k in range(WORDS)), F.lit(0))).withColumn("after", F.ceil(F.col("size") * percent / 100) - 1)
-    names = ["node", "component", "size", "common", "crowd", "after", *[f"b{k}" for k in range(WORDS)]]
+    ranked = ranked.withColumn("r", F.concat("two", F.array_except(F.array_except("shingles", "one"), "two")))
+    keep = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - F.size("one")
+    ranked = ranked.withColumn("keep", keep.cast("int")).where("keep > 0").withColumn("p", F.expr("slice(r, 1, greatest(keep, 0))"))
+    bits = [F.expr(f"aggregate(r, 0L, (a, x) -> if(pmod(x, {WORDS}) = {k}, a | shiftleft(1L, cast(pmod(shiftrightunsigned(x, 8), 64) as int)), a))").alias(f"b{k}") for k in range(WORDS)]
+    prefix = ranked.select("node", "component", "size", F.size("r").alias("common"), "p", *bits)
+    prefix = prefix.withColumn("crowd", F.col("common") - sum((F.bit_count(f"b{k}") for k in range(WORDS)), F.lit(0)))
+    names = ["node", "component", "size", "common", "crowd", *[f"b{k}" for k in range(WORDS)]]
     prefix = scratch.write(prefix.select(*names, F.explode("p").alias("s")), "open-prefix")
-    a, b = (prefix.select("s", *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "uv")
-    # two sets share no more than the lesser number of members that either has in common with any other, and no more than
-    # their prefixes share (at most the bits both have set and the members that found theirs taken) and what follows them
-    enough = lambda most: f"100 * {most} >= {percent} * (size_u + size_v - {most})"
+    # of two sets of different components one isn't of the component that most sets of a shingle are of
+    most = prefix.groupBy("s", "component").agg(F.count("*").alias("n")).groupBy("s").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).where("n > most.n").select("s", "most.component")
+    fewer = prefix.join(most.withColumnRenamed("component", "most"), "s").where("component <> most")
+    a, b = (df.select("s", *[F.col(c).alias(f"{c}_{x}") for c in names]) for df, x in ((fewer, "u"), (prefix, "v")))
+    # two sets share at most as many members as either has in common with any other, and as many as bits that both have set and
+    # the lesser number of members that found theirs taken
     both = " + ".join(f"bit_count(b{k}_u & b{k}_v)" for k in range(WORDS))
-    fits = f"node_u < node_v and component_u <> component_v and {enough('least(common_u, common_v)')} and {enough(f'({both} + least(crowd_u, crowd_v) + greatest(after_u, after_v))')}"
-    return a.join(b, "s").where(fits).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
+    enough = lambda most: f"100 * {most} >= {percent} * (size_u + size_v - {most})"
+    fits = f"component_u <> component_v and {enough('least(common_u, common_v)')} and {enough(f'({both} + least(crowd_u, crowd_v))')}"
+    return a.join(b, "s").where(fits).select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
 
 
 def _stars(members: DataFrame, percent: int) -> DataFrame:
@@ -129,7 +136,7 @@ def _stars(members: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("c.node").alias("u"), F.col("node").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, bands: Callable[[np.ndarray], np.ndarray] = band_keys) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable over links of similarity percent /
     100 or more), kept (doc_id = component_id).
 
@@ -139,7 +146,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.write(docs.mapInArrow(_signatures(n), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
+    signed = scratch.write(docs.mapInArrow(_signatures(n, bands), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
     classes = scratch.write(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
 
     rows = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
