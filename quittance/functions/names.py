@@ -49,17 +49,16 @@ def extract_name(text: Column) -> Column:
 
 def guess_category(text: Column, allowed: list[str]) -> Column:
     """The allowed category whose words found in the text have most letters, the first on ties; without any the fallback."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    scores = []
-    for rank, (category, words) in enumerate(fixed.CATEGORY_WORDS.items()):
-        if category in allowed:
-            score = sum((F.when(F.contains(low, F.lit(w)), len(w)).otherwise(0) for w in words), F.lit(0))
-            scores.append(F.struct(score.alias("score"), F.lit(-rank).alias("rank"), F.lit(category).alias("category")))
     none = fixed.OTHER_CATEGORY if fixed.OTHER_CATEGORY in allowed else allowed[-1] if allowed else ""
-    if not scores:
+    known = [(-rank, c, words) for rank, (c, words) in enumerate(fixed.CATEGORY_WORDS.items()) if c in allowed]
+    if not known:
         return F.lit(none)
-    best = F.array_max(F.array(*scores))
-    return F.when(best["score"] > 0, best["category"]).otherwise(none)
+
+    def scores(low):
+        score = lambda words: sum((F.when(F.contains(low, F.lit(w)), len(w)).otherwise(0) for w in words), F.lit(0))
+        return F.array_max(F.array(*[F.struct(score(words).alias("score"), F.lit(rank).alias("rank"), F.lit(c).alias("category")) for rank, c, words in known]))
+
+    return let(let(F.lower(F.coalesce(text, F.lit(""))), scores), lambda best: F.when(best["score"] > 0, best["category"]).otherwise(none))
 
 
 def trim_address(value: Column, limit: int = 70) -> Column:
