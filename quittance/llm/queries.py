@@ -8,6 +8,7 @@ from . import license_scan, mixing
 from .ann import nearest_neighbours
 from .common import read
 from .fingerprints import fingerprint_edits
+from .license_texts import scan_license_texts
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .quality import score_quality
@@ -24,6 +25,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op2_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_license_texts(read(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -56,5 +61,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_near_dedup, op4_substring_dedup, op5_ann, op6_fingerprints, op7_toxicity, op8_mixing, op9_url_filter, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op2_license_texts, op3_near_dedup, op4_substring_dedup, op5_ann, op6_fingerprints, op7_toxicity, op8_mixing, op9_url_filter, op10_quality)}
 ORACLE = {"op2_license_scan": license_scan.oracle(), "op8_mixing": mixing.ORACLE}
