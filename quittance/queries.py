@@ -337,10 +337,16 @@ def work_items(spark, sf_dir):
 
 @query(f"with {bridge.MAILS}, ls as (select id, unnest(string_split(body_text, chr(10))) as line, generate_subscripts(string_split(body_text, chr(10)), 1) as k from mails), vals as (select id, k, left(trim(trim(regexp_replace(split_part(regexp_replace(line, '^[^:]*:', ''), ',', 1), '\\s+', ' ', 'g'), ' -–—:'), ' -–—,:'), 70) as v from ls where starts_with(lower(trim(line)), 'toko')), best as (select id, arg_min(v, k) as v from vals where len(v) >= 3 group by 1) select m.id, coalesce(b.v, 'Sender ' || (m.id % 9)) as merchant from mails m left join best b using (id)")
 def merchant_guess(spark, sf_dir):
-    rows = bridge.mails(spark, sf_dir)
+    rows = bridge.brief_mails(spark, sf_dir)
     return rows.select("id", names.merchant_guess(F.col("body_text"), F.concat(F.lit("Sender "), (F.col("id") % 9).cast("string")), F.lit("a@b")).alias("merchant"))
 
 
+@query()
+def merchant_guess_whole(spark, sf_dir):
+    rows = bridge.mails(spark, sf_dir)
+    return rows.select("id", names.merchant_guess(F.col("body"), F.concat(F.lit("Sender "), (F.col("id") % 9).cast("string")), F.lit("a@b")).alias("merchant"))
+
+
 @query("select c_custkey as id, trim(concat('Toko ', c_mktsegment, ' ', c_nationkey), ' -–—,:') as trimmed from customer")
 def trim_address(spark, sf_dir):
     rows = bridge.read(spark, sf_dir, "customer").selectExpr("c_custkey as id", "concat('Toko ', c_mktsegment, '  ', c_nationkey, case c_custkey % 3 when 0 then ', Jakarta' when 1 then ' - Jl. Mangga No.9, RT.8' else '  Lantai 2' end) as raw")
