@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ascii_lower
 
-#: Labelled URLs that the trees are fitted on at most, the least by hash of the URL; bins of a feature; trees and depth.
+#: Distinct labelled URLs that the trees are fitted on at most, the least by hash of the URL; bins of a feature; trees and depth.
 SAMPLE, BINS, TREES, DEPTH = 20_000, 12, 10, 3
 RATE, SMOOTH, LEAST_ROWS = 0.3, 1.0, 5
 FEATURES = ("length", "host_length", "path_length", "depth", "digits", "entropy", "parameters", "hyphens", "labels", "secure", "fragment", "zone_rate", "site_rate")
@@ -57,9 +57,9 @@ def _suffix(host: Column, labels: int) -> Column:
     return F.substring_index(host, ".", -labels)
 
 
-def _suffix_rates(sample: DataFrame, labels: int) -> DataFrame:
-    """Smoothed share of blocked URLs by the host's last labels; as many rows as the sample has at most."""
-    return sample.groupBy(_suffix(F.col("host"), labels).alias(f"s{labels}")).agg(((F.sum("y") + SMOOTH * 0.5) / (F.count("*") + SMOOTH)).alias(f"r{labels}"))
+def _suffix_rates(counted: DataFrame, labels: int) -> DataFrame:
+    """Smoothed share of blocked URLs by the host's last labels, over all labelled URLs (host, y, n)."""
+    return counted.groupBy(_suffix(F.col("host"), labels).alias(f"s{labels}")).agg(((F.sum(F.col("y") * F.col("n")) + SMOOTH * 0.5) / (F.sum("n") + SMOOTH)).alias(f"r{labels}"))
 
 
 def _score(trees: list, names: dict[str, Column]) -> Column:
@@ -133,7 +133,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, labelled: DataFrame | No
     """One row per row of pages: page_id, host, path, rule (host and path of the longest that fits, else null), verdict
     ('allow' or 'block': the rule's, else the trees'), block_score (probability by the trees).
 
-    labelled: (url, y) with y 1 for block; by default the URLs that a rule judges. Trees see SAMPLE of them at most. Null URLs
+    labelled: (url, y) with y 1 for block; by default the URLs that a rule judges. Trees see SAMPLE distinct ones at most,
+    weighted by their rows; rates of zones and sites are of all. Null URLs
     count as empty ones. Without labels of both kinds the score is the smoothed share of blocked URLs, 0.5 without any.
     Equal URLs get equal verdicts; no rows give no rows; other columns are ignored.
     """
@@ -148,23 +149,23 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, labelled: DataFrame | No
         known = rows.where("judged is not null").select("u", "host", "path", (F.col("judged.verdict") == "block").cast("long").alias("y"))
     else:
         known = parts(labelled.where("url is not null and y is not null").select(F.col("url").alias("u"), F.col("y").cast("long").alias("y"))).select("u", "host", "path", "y")
-    sample = scratch.write(known.orderBy(F.xxhash64("u"), "u", "y").limit(SAMPLE), "sample")
-    # at most SAMPLE rows of two short columns each: a proven bound
-    rates = [scratch.write(_suffix_rates(sample, k), f"rate{k}") for k in (1, 2)]
-    prior = sample.agg(((F.sum("y") + 0.5) / (F.count("*") + 1)).alias("p")).first()[0]
+    counted = scratch.write(known.groupBy("u", "host", "path", "y").agg(F.count("*").alias("n")), "counted")
+    sample = scratch.write(counted.orderBy(F.xxhash64("u"), "u", "y").limit(SAMPLE), "sample")
+    rates = [scratch.write(_suffix_rates(counted, k), f"rate{k}") for k in (1, 2)]
+    prior = counted.agg(((F.sum(F.col("y") * F.col("n")) + 0.5) / (F.sum("n") + 1)).alias("p")).first()[0]
     prior = 0.5 if prior is None else float(prior)
 
     def featured(df: DataFrame) -> DataFrame:
-        for k, r in zip((1, 2), rates, strict=True):
-            df = df.withColumn(f"s{k}", _suffix(F.col("host"), k)).join(F.broadcast(r), f"s{k}", "left")
+        for k, r in zip((1, 2), rates, strict=True):  # as many rows as there are suffixes: no hint to broadcast
+            df = df.withColumn(f"s{k}", _suffix(F.col("host"), k)).join(r, f"s{k}", "left")
         lexical = _lexical(F.col("u"), F.col("host"), F.col("path"))
         return df.withColumns(lexical | {"zone_rate": F.coalesce("r1", F.lit(prior)), "site_rate": F.coalesce("r2", F.lit(prior))})
 
-    inputs = scratch.write(featured(sample).select("y", *FEATURES), "inputs")
+    inputs = scratch.write(featured(sample).select("y", "n", *FEATURES), "inputs")
     points = [k / BINS for k in range(1, BINS)]
     cuts = [sorted(set(x or [])) for x in inputs.agg(*[F.percentile_approx(f, points, 10_000) for f in FEATURES]).first()]
     bins = F.array(*[sum(((F.col(f) > x).cast("int") for x in c), F.lit(0)) for f, c in zip(FEATURES, cuts, strict=True)])
-    binned = scratch.write(inputs.select(bins.alias("bins"), "y").groupBy("bins", "y").agg(F.count("*").alias("n")), "binned")
+    binned = scratch.write(inputs.select(bins.alias("bins"), "y", "n").groupBy("bins", "y").agg(F.sum("n").alias("n")), "binned")
     both = binned.select("y").distinct().count() > 1
     trees = fit_trees(binned, cuts) if both else [math.log(prior / (1 - prior))]
     score = 1 / (1 + F.exp(-_score(trees, {f: F.col(f) for f in FEATURES})))
