@@ -13,8 +13,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, *, id_col: str = "doc_id", text_col: str = "text") -> Iterator[tuple[str, int]]:
-    """(text, label) of at most ``limit`` labelled documents that aren't held out, the least by hash of their id, in a fixed
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, *, id_col: str = "doc_id", text_col: str = "text") -> Iterator[tuple[int, str, int]]:
+    """(id, text, label) of at most ``limit`` labelled documents that aren't held out, the least by hash of their id, in a fixed
     order. Null ids, texts and labels are left out; of several labels of an id the largest counts. Rows reach the driver one
     partition at a time."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id_col)))
@@ -22,29 +22,4 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, *,
     # at most ``limit`` rows of two numbers
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(known), "_id")
     for row in found.orderBy(F.xxhash64("_id"), "_id", "_text").toLocalIterator():
-        yield row["_text"], row["_y"]
-
-
-def thin(sets: list[list], most: float = 0.5) -> list[int]:
-    """Indices of the sets (lists without repeats) that share less than ``most`` of their rarer members with an earlier one, so that copies of one
-    text count once."""
-    often: dict = {}
-    for s in sets:
-        for x in s:
-            often[x] = often.get(x, 0) + 1
-    cut = max(20, len(sets) // 50)
-    posts: dict = {}
-    kept = []
-    for k, s in enumerate(sets):
-        rare = [x for x in s if 1 < often[x] <= cut]
-        seen: dict = {}
-        for x in rare:
-            for j in posts.get(x, ()):
-                seen[j] = seen.get(j, 0) + 1
-        alone = sum(often[x] == 1 for x in s)
-        if seen and max(seen.values()) >= most * (len(rare) + alone):
-            continue
-        kept.append(k)
-        for x in rare:
-            posts.setdefault(x, []).append(k)
-    return kept
+        yield row["_id"], row["_text"], row["_y"]

@@ -133,6 +133,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality",
     labels every score is 0.5; of several labels of an id the largest counts; no rows give no rows; other columns are ignored,
     whatever their names.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, label, SAMPLE, id_col=id_col, text_col=text_col)))
+    shared = docs.sparkSession.sparkContext.broadcast(fit((text, y) for _, text, y in training_rows(docs, labels, label, SAMPLE, id_col=id_col, text_col=text_col)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_scores(shared), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

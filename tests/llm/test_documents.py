@@ -311,30 +311,6 @@ def test_classifiers_edges(spark, table, score):
     assert all(r["score"] == 0.5 for r in score(table, labels.where("false")).collect())
 
 
-def test_block_max_search_is_exact():
-    r = random.Random(2)
-    vectors = []
-    for _ in range(300):
-        v = {t: r.random() for t in r.sample(range(40), r.randrange(0, 6))}
-        norm = sum(x * x for x in v.values()) ** 0.5
-        vectors.append({t: x / norm for t, x in v.items()} if v else {})
-    index = toxicity.BlockMaxIndex.build(vectors, 40)
-    for query in vectors[:60]:
-        if query:
-            scores = [(round(sum(w * v.get(t, 0) for t, w in query.items()), 12), k) for k, v in enumerate(vectors)]
-            want = sorted(((s, k) for s, k in scores if s > 0), key=lambda x: (-x[0], x[1]))[:25]
-            got = index.nearest(query, 25)
-            assert [k for _, k in got] == [k for _, k in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
-
-
-def test_toxic_evidence_and_filter(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()}
-    rows = toxicity.toxic_evidence(docs, labels).collect()
-    assert all(abs(r["score"] - scores[r["doc_id"]]) < 1e-9 for r in rows) and any(r["evidence"] for r in rows)
-    assert {r["doc_id"] for r in toxicity.drop_toxic(docs, labels).collect()} == {i for i, s in scores.items() if s < 0.5}
-
-
 def test_pipeline(spark):
     import corpus_pipeline
 
