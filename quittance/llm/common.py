@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,34 +15,74 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one is made only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own, as
+    all its tasks run on one machine; a cluster gets an error, as its machines share no folder that could be guessed."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quittance-')}"
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder there that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='quittance-')}"
+        found = _own[context.applicationId]
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_made: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch_until_written(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that operators make inside go at the end, also those that their results read: for results that are written
+    inside, too."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for root in _made.pop():
+            _delete(spark, root)
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder, so that lost executors cost no lineage.
 
-    Tables that a returned frame still reads stay; ``drop`` removes those that were only steps on the way.
+    ``drop`` removes those that were only steps on the way. Tables that a returned frame still reads stay until the end of
+    ``scratch_until_written`` around it, else until the driver's file system is closed.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/quittance-{uuid.uuid4().hex}"
+        if _made:
+            _made[-1].append(self.root)
+        else:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            system.mkdirs(path)
+            system.deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
+
+
+def unnamed(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns named c0, c1 and so on, so that no name of an operator's own can clash with one of them, and what the
+    given columns are called now. toDF(*df.columns) gives the names back."""
+    at = {c.lower(): f"c{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), [at[n.lower()] for n in names]
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:

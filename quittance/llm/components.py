@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     edge to another one; component is the least node of its component. Rounds grow with the logarithm of the nodes."""
     now = scratch.write(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
     state = None
-    for k in range(1, 200):
+    for k in itertools.count(1):
         after = scratch.write(_star(_star(now, True), False), f"{name}-{k}")
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}-{k - 1}")

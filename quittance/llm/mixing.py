@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, word_count
+from .common import Scratch, unnamed, word_count
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -71,7 +71,9 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: doc_id, size (words), source_size, target (of its source), taken (words taken, repeats counted).
 
     A null source is a source, last in order. Null or blank texts have size 0 and nothing is taken of them; a source without
-    words has target 0. Rows with equal doc_id of one source are taken alike. No rows give no rows.
+    words has target 0. Rows with equal doc_id of one source are taken alike, rows without doc_id by their text; documents whose
+    hash ties are taken together. Very long texts are counted whole. Repeated rows give repeated results, no rows none; other
+    columns are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
     sized = scratch.write(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), mix_hash(F.col(id_col), F.col(text_col)).alias("h")), "sized")
@@ -80,14 +82,20 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def take_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs as the mix takes them: rows once, twice or not at all; columns as they were. Blank texts go with a 0th copy."""
+    """docs as the mix takes them: rows once, twice or not at all; columns as they were, whatever their names.
+
+    Null and blank texts have size 0 and stay as often as the whole copies of their source say, 0 to 2 times; a source without
+    words is left out. A null source is a source. Rows of equal doc_id in a source are taken alike, rows without doc_id by their
+    text. Very long texts are only counted. Ties of the hash are taken together; no rows give no rows.
+    """
     scratch = Scratch(docs.sparkSession)
-    h = mix_hash(F.col(id_col), F.col(text_col))
-    sized = scratch.write(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h")), "sized")
+    rows, (i, text, source) = unnamed(docs, id_col, text_col, source_col)
+    h = mix_hash(F.col(i), F.col(text))
+    sized = scratch.write(rows.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), h.alias("h")), "sized")
     plan = scratch.write(mix_plan(sized), "plan")
     scratch.drop("sized")
-    taken = with_copies(docs, plan, source_col, h).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("_copies", F.lit(1)))))
-    return taken.where("_copies > 0").select(*[docs[c] for c in docs.columns])
+    taken = with_copies(rows, plan, source, h).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("_copies", F.lit(1)))))
+    return taken.where("_copies > 0").select(*rows.columns).toDF(*docs.columns)
 
 
 ORACLE = r"""

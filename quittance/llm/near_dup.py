@@ -18,10 +18,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, unnamed
 from .components import connected_components
 from .wordhash import chunks, mix, shingle_sets
 
@@ -141,8 +141,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     100 or more), kept (doc_id = component_id).
 
     Words are cut at ASCII white space after lower-casing A-Z. Texts without words (null, empty, blank) are in a component
-    of their own. Rows that share a doc_id are one node. A row without doc_id links nothing: component_id null, kept true.
-    No rows give no rows; other columns are ignored.
+    of their own. Rows that share a doc_id are one node, which links what any of them links. A row without doc_id links nothing:
+    component_id null, kept true. Very long texts are read whole; of equal sets the least doc_id stands for all. Repeated rows
+    give repeated results, no rows none; other columns are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -181,7 +182,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group, all columns as they were; rows without doc_id stay."""
-    keep = near_duplicates(docs, id_col=id_col, text_col=text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(keep.hint("merge"), F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
-    return known.union(docs.where(F.col(id_col).isNull()))
+    """docs with one document of each group, the one of the least doc_id; columns as they were, whatever their names.
+
+    Rows that share a doc_id are one document: of those of a kept one the least row stays, by text and then by the other columns
+    in order, so a rerun keeps the same one. Rows without doc_id stay, null, empty and blank texts are like no other. Very long
+    texts are compared whole; no rows give no rows.
+    """
+    rows, (i, text) = unnamed(docs, id_col, text_col)
+    keep = near_duplicates(rows, id_col=i, text_col=text).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
+    known = rows.join(keep.hint("merge"), F.col(i).cast("long") == F.col("_kept"))
+    order = [F.col(c).asc_nulls_first() for c in [text, *rows.columns] if "map<" not in dict(rows.dtypes)[c] and "variant" not in dict(rows.dtypes)[c]]
+    first = known.where("_n > 1").withColumn("_r", F.row_number().over(Window.partitionBy("_kept").orderBy(*order))).where("_r = 1")
+    found = known.where("_n = 1").select(*rows.columns).union(first.select(*rows.columns)).union(rows.where(F.col(i).isNull()))
+    return found.toDF(*docs.columns)

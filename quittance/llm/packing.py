@@ -1,6 +1,6 @@
 """Packing documents into sequences: first-fit decreasing over a tournament tree of bin capacities, in random groups.
 
-Documents go to groups by a hash of their id; the number of groups follows the bytes of all texts, so that a group is a few
+Documents go to groups at random; the number of groups follows the bytes of all texts, so that a group is a few
 megabytes at any size of the corpus. A group is tokenised and packed in one task: its ids never leave it. A document longer
 than a sequence is cut into full sequences and a rest; rests are packed by first-fit decreasing. Gaps that are left are then
 filled from the least full sequences, whose pieces are cut for it.
@@ -21,6 +21,8 @@ from .common import text_bytes
 #: Tokens of a sequence, the id that ends a document, text bytes of a group, least tokens worth a cut.
 LENGTH, END, GROUP_BYTES, LEAST_CUT = 2048, 1, 4 << 20, 32
 VOCABULARY = "byte_bpe_50k"
+#: Groups of a task; tasks, beyond which each gets more groups.
+GROUPS_A_TASK, MOST_TASKS = 16, 50_000
 
 
 @functools.lru_cache(2)
@@ -31,17 +33,20 @@ def encoder(name: str):
     becomes one id there, goes to tokenizers itself.
     """
     import base64
+    import json
 
     import public_tokenizers as known
     import tiktoken
 
     with open(known.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(known.path(f"{name}.json"), encoding="utf-8") as f:
+        special = [x["content"] for x in json.load(f)["added_tokens"]]
     fast = tiktoken.Encoding(name, pat_str=known.PATTERN, mergeable_ranks=ranks, special_tokens={})
     slow: list = []
 
     def ids(text: str) -> np.ndarray:
-        if "<|endoftext|>" in text:
+        if any(x in text for x in special):
             if not slow:
                 from tokenizers import Tokenizer
 
@@ -139,11 +144,13 @@ def _pack(name: str, length: int, with_ids: bool):
 def pack_documents(docs: DataFrame, *, length: int = LENGTH, vocabulary: str = VOCABULARY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds ids array<int>.
 
-    A null or empty text is one id, the document's end. Repeated rows are packed each; rows without doc_id are dealt by their
-    text. No rows give no rows; other columns are ignored. A rerun gives the same pieces and sequences.
+    A null or empty text is one id, the document's end; very long texts are cut into as many sequences as they need. Repeated rows
+    and rows without doc_id are packed each; rows of a group that tie are ordered by doc_id and text. No rows give no rows; other
+    columns are ignored, whatever their names. Rows go to groups at random, so that no key of many rows makes a large group; the
+    seed is fixed, so a rerun over the same files gives the same pieces and sequences.
     """
     groups = max(1, -(-text_bytes(docs, text_col) // GROUP_BYTES))
-    key = F.pmod(F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"), F.lit(17))).otherwise(F.xxhash64(F.col(text_col))), F.lit(groups))
-    rows = docs.select(key.alias("group"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("group", F.floor(F.rand(17) * groups))
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-groups // GROUPS_A_TASK), MOST_TASKS))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return rows.groupBy("group").applyInArrow(_pack(vocabulary, length, with_ids), schema)
+    return rows.select("group", "doc_id", "text").repartition(spread, "group").groupBy("group").applyInArrow(_pack(vocabulary, length, with_ids), schema)

@@ -1,13 +1,14 @@
 """Removal of passages that an earlier document holds: windows of 50 words, found by an FM-index per shard.
 
 1. The least hash of the 8-word grams of a window names it: equal windows have equal names, and windows in a row mostly share
-   one. A segment is up to 64 windows in a row of one name. Equal segments need no index: all but the least document lose it.
-2. Names of one segment only are settled by that. Of the others, the distinct segments go to shards by name, so that all
-   occurrences of a window meet in one shard. A shard's segments are indexed: suffix array, Burrows-Wheeler transform, a wavelet
-   matrix of packed bits. Every segment is streamed through by backward search, which keeps the suffix interval of the last
-   50 words; the least document of the interval decides.
-3. A name of more than HOT distinct segments isn't gathered in a shard: its windows are grouped by their hash, least document
-   first, which combines before any exchange.
+   one. A segment is up to 64 windows in a row of one name. Equal segments (by name and a hash of all their words, 128 bits) are
+   one class, so copies cost one row: all but the least document lose it.
+2. The windows of the distinct segments of a name are counted by their hash. Of windows that several documents hold, the place
+   in the least of them goes into an index; a window without a second document needs none.
+3. Shards are made of names, by their words; a name of many words is dealt over several shards, its index by window hash, its
+   segments at random, so no shard grows with a name. A shard indexes its first places: suffix array, Burrows-Wheeler transform,
+   a wavelet matrix of packed bits. All segments of its names are streamed through by backward search, which keeps the suffix
+   interval of the last 50 words: the words decide, not their hashes, and the least document of the interval counts.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, unnamed
 from .wordhash import BASE, INVERSE, Chunk, chunks, grams, mix, powers
 
-#: Words of a window, of a gram; windows of a segment; words of a shard's text; distinct segments of a name in a shard.
-WINDOW, GRAM, RUN, SHARD_WORDS, HOT = 50, 8, 64, 150_000, 8_192
+#: Words of a window, of a gram; windows of a segment; words that a shard indexes or streams, about.
+WINDOW, GRAM, RUN, SHARD_WORDS = 50, 8, 64, 150_000
 
 
 def window_names(words: np.ndarray) -> np.ndarray:
@@ -39,7 +40,7 @@ def window_names(words: np.ndarray) -> np.ndarray:
 
 
 def range_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of runs of words."""
+    """Hashes of runs of words, all in one pass."""
     prefix = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(mix(words ^ np.uint64(5)) * powers(BASE, len(words)), out=prefix[1:])
     return mix((prefix[end] - prefix[start]) * powers(INVERSE, len(words))[start] + (end - start).astype(np.uint64))
@@ -101,13 +102,13 @@ class Wavelet:
 class FMIndex:
     """Of texts as lists of words: suffix array (kept only as the interval of each window), BWT in a wavelet matrix."""
 
-    def __init__(self, texts: list[list[str]], owners: np.ndarray, window: int = WINDOW):
+    def __init__(self, texts: list[list], owners: np.ndarray, window: int = WINDOW):
         ends = len(texts)
-        codes: dict[str, int] = {}
-        self.texts = [np.array([codes.setdefault(w, ends + len(codes)) for w in t], np.int64) for t in texts]
-        text = np.concatenate([x for k, t in enumerate(self.texts) for x in (t, np.array([k]))])
+        self.codes: dict = {}
+        coded = [np.array([self.codes.setdefault(w, ends + len(self.codes)) for w in t], np.int64) for t in texts]
+        text = np.concatenate([x for k, t in enumerate(coded) for x in (t, np.array([k]))])
         owner = np.repeat(owners, [len(t) + 1 for t in texts])
-        self.sigma, self.window, n = ends + len(codes), window, len(text)
+        self.sigma, self.window, n = ends + len(self.codes), window, len(text)
         # prefix doubling; ranks by the first 2**k words are kept as long as the window needs them
         rank, span, kept = text, 1, None
         while True:
@@ -138,27 +139,37 @@ class FMIndex:
         both = self.wavelet.rank(np.concatenate((symbol, symbol)), np.concatenate((low, high))) + np.tile(self.before[symbol], 2)
         return both[: len(symbol)], both[len(symbol) :]
 
-    def first_owners(self) -> list[np.ndarray]:
-        """For each indexed text, the least owner of each of its windows. All texts advance together, from their ends."""
-        sizes = np.array([len(t) for t in self.texts])
-        out = [np.zeros(max(0, n - self.window + 1), np.int64) for n in sizes]
+    def search(self, texts: list[list]) -> list[list]:
+        """For each text, the least owner of each of its windows, None for a window that isn't there. All texts advance together,
+        from their ends; one that meets what isn't there is taken window by window."""
+        coded = [np.array([self.codes.get(w, -1) for w in t], np.int64) for t in texts]
+        sizes = np.array([len(t) for t in coded], np.int64)
         padded = np.zeros((len(sizes), max(sizes, default=0)), np.int64)
-        for k, t in enumerate(self.texts):
+        for k, t in enumerate(coded):
             padded[k, : len(t)] = t[::-1]
+        lost = np.array([bool((t < 0).any()) for t in coded], bool)
         low, high = np.zeros(len(sizes), np.int64), np.full(len(sizes), len(self.group))
         owners = np.zeros(padded.shape, np.int64)
         for step in range(padded.shape[1]):
-            live = np.flatnonzero(sizes > step)
+            live = np.flatnonzero((sizes > step) & ~lost)
             a, b = self.extend(padded[live, step], low[live], high[live])
+            lost[live[a >= b]] = True
+            live, a, b = live[a < b], a[a < b], b[a < b]
             if step + 1 >= self.window:
                 # the first 50 of the words matched so far: all suffixes that begin with them
                 at = self.group[a]
                 a, b = self.low[at], self.high[at]
                 owners[live, step] = self.least_owner[at]
             low[live], high[live] = a, b
-        for k, n in enumerate(sizes):
-            if n >= self.window:
-                out[k] = owners[k, self.window - 1 : n][::-1]
+        out = []
+        for k, n in enumerate(sizes.tolist()):
+            if not lost[k]:
+                out.append(owners[k, self.window - 1 : n][::-1].tolist())
+            elif n <= self.window:
+                out.append([None] * (n == self.window))
+            else:
+                alone = [texts[k][i : i + self.window] for i in range(n - self.window + 1)]
+                out.append([x for found in self.search(alone) for x in found])
         return out
 
 
@@ -172,33 +183,88 @@ _RANGES = pa.schema([("name", pa.int64()), ("h", pa.int64()), ("a", pa.int32()),
 
 
 def _shard(key, table):
+    """Rows with places are of the index: windows of a segment, by their number in it. The others are segments to stream; their
+    windows that the index can hold, by hash, are searched for."""
     table = table.sort_by([("doc_id", "ascending"), ("name", "ascending"), ("h", "ascending")])
-    owners = table["doc_id"].to_numpy()
-    found = FMIndex([t.split(" ") for t in table["words"].to_pylist()], owners).first_owners()
-    rows = [(n, h, a, b) for d, n, h, o in zip(owners.tolist(), table["name"].to_pylist(), table["h"].to_pylist(), found, strict=True) for a, b in spans(o < d)]
+    docs, names, hs = (table[c].to_pylist() for c in ("doc_id", "name", "h"))
+    texts, owners, held = [], [], []
+    streamed = []
+    for row, places in enumerate(table["places"].to_pylist()):
+        if places is None:
+            streamed.append(row)
+            continue
+        words, hashes = table["words"][row].as_py().split(), table["hashes"][row].values.to_numpy()
+        mark = np.zeros(len(hashes), bool)
+        mark[places] = True
+        held.append(hashes[mark])
+        for a, b in spans(mark):
+            texts.append(words[a:b])
+            owners.append(docs[row])
+    rows: list = []
+    if texts:
+        known = np.unique(np.concatenate(held))
+        asked: dict = {}
+        wanted = []
+        for row in streamed:
+            some = np.isin(table["hashes"][row].values.to_numpy(), known)
+            if some.any():
+                words = table["words"][row].as_py().split()
+                wanted += [(row, a, asked.setdefault(tuple(words[a:b]), len(asked))) for a, b in spans(some)]
+        found = FMIndex(texts, np.array(owners)).search([list(t) for t in asked])
+        for row, a, k in wanted:
+            hit = np.array([x is not None and x < docs[row] for x in found[k]])
+            rows += [(names[row], hs[row], a + x, a + y) for x, y in spans(hit)]
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _RANGES, strict=True)], schema=_RANGES)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tk, text, wanted) to the words of each wanted segment, or the hashes of its windows if its name is hot."""
+    """(doc_id, tk, text, wanted) to the words of each wanted segment, as they stand in the text, and the hashes of its windows.
+    Rows of equal id and text come one after another; one of them is cut."""
+    last = None
     for batch in batches:
         for chunk in chunks(batch.column("text")):
-            out: list = [[] for _ in range(6)]
-            raw = chunk.data.tobytes()
-            words = None
+            raw, words = chunk.data.tobytes(), chunk.hashes()
+            docs, found, first = [], [], []
             for row in range(chunk.first, chunk.last):
-                base = chunk.row_word[row - chunk.first]
-                for x in batch.column("wanted")[row].as_py():
-                    a, b = base + x["start"], base + x["start"] + x["size"] + WINDOW - 1
-                    hashes = None
-                    if x["hot"]:
-                        words = chunk.hashes() if words is None else words
-                        first = np.arange(a, a + x["size"])
-                        hashes = range_hashes(words, first, first + WINDOW).view(np.int64)
-                    for o, v in zip(out, (batch.column("doc_id")[row].as_py(), x["name"], x["h"], int(b - a), None if x["hot"] else b" ".join(raw[chunk.starts[k] : chunk.ends[k]] for k in range(a, b)).decode(), hashes), strict=True):
-                        o.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["doc_id", "name", "h", "n", "words", "hashes"])
+                last, before = (batch.column("doc_id")[row].as_py(), batch.column("tk")[row].as_py()), last
+                for x in batch.column("wanted")[row].as_py() if last != before else ():
+                    docs.append(last[0])
+                    found.append(x)
+                    first.append(chunk.row_word[row - chunk.first] + x["start"])
+            first, size = np.array(first, np.int64), np.array([x["size"] for x in found], np.int64)
+            end = first + size + WINDOW - 1
+            at = np.cumsum(np.append(0, size))
+            place = np.arange(at[-1]) + np.repeat(first - at[:-1], size)
+            hashes = range_hashes(words, place, place + WINDOW).view(np.int64) if len(place) else np.zeros(0, np.int64)
+            cut = [raw[chunk.starts[a] : chunk.ends[b - 1]] for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(docs, pa.int64()), pa.array([x["name"] for x in found], pa.int64()), pa.array([x["h"] for x in found], pa.int64()),
+                pa.array((end - first).astype(np.int32)), pa.array(cut, pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes)),
+            ], ["doc_id", "name", "h", "n", "words", "hashes"])
+
+
+def _found_by_index(cut: DataFrame, scratch: Scratch) -> DataFrame:
+    """cut: distinct segments (doc_id, name, h, n, words, hashes). Returns (name, h, a, b): the words a to b of a segment that
+    windows cover which another segment of a smaller doc_id holds."""
+    windows = cut.select("name", "h", "doc_id", F.posexplode("hashes").alias("k", "w"))
+    place = [F.min_by(c, "doc_id").alias(c) for c in ("h", "k")]
+    first = windows.groupBy("name", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), *place)
+    first = scratch.write(first.where("first < last").select("name", "w", "h", "k"), "first")
+    # a name's index and segments are dealt over so many shards; names that need one only share shards
+    sizes = cut.groupBy("name").agg(F.sum(F.col("n").cast("long")).alias("words")).join(first.groupBy("name").agg(F.count("*").alias("held")), "name")
+    sizes = sizes.withColumn("parts", F.ceil(F.col("held") * WINDOW / SHARD_WORDS))
+    sizes = scratch.write(sizes.withColumn("salts", F.ceil(F.col("words") * F.least("parts", F.lit(RUN)) / F.col("parts") / SHARD_WORDS)), "sizes")
+    one = "parts = 1 and salts = 1"
+    total = sizes.where(one).agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    shard = F.when(F.expr(one), F.pmod(F.xxhash64("name"), F.lit(max(1, -(-int(total) // SHARD_WORDS))))).otherwise(F.xxhash64("name", "part", "salt")).alias("shard")
+    plan = sizes.select("name", "parts", "salts").hint("merge")
+    part = lambda w: F.pmod(w, F.col("parts"))
+    indexed = first.join(plan, "name").groupBy("name", "h", part(F.col("w")).alias("part"), "parts", "salts").agg(F.collect_list("k").alias("places"))
+    indexed = indexed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).join(cut.hint("merge"), ["name", "h"])
+    streamed = cut.join(plan, "name").withColumn("part", F.explode(F.array_distinct(F.transform("hashes", part)))).withColumn("salt", F.pmod(F.xxhash64("h"), F.col("salts")))
+    columns = [shard, "doc_id", "name", "h", "words", "hashes"]
+    every = indexed.select(*columns, "places").union(streamed.select(*columns, F.lit(None).cast("array<int>").alias("places")))
+    return every.groupBy("shard").applyInArrow(_shard, "name long, h long, a int, b int")
 
 
 def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -207,17 +273,11 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     anchors = scratch.write(docs.where("doc_id is not null").mapInArrow(_anchors, "doc_id long, tk long, start int, size int, name long, h long"), "anchors")
     held = scratch.write(anchors.groupBy("name", "h").agg(F.min(F.struct("doc_id", "tk", "start", "size")).alias("at"), F.max("doc_id").alias("last")), "held")
     names = held.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = held.join(names.hint("merge"), "name").select("at.doc_id", "at.tk", F.struct("name", "h", "at.start", "at.size", (F.col("n") > HOT).alias("hot")).alias("w"))
+    wanted = held.join(names.hint("merge"), "name").select("at.doc_id", "at.tk", F.struct("name", "h", "at.start", "at.size").alias("w"))
     wanted = wanted.groupBy("doc_id", "tk").agg(F.collect_list("w").alias("wanted"))
-    cut = docs.join(wanted.hint("merge"), ["doc_id", "tk"]).select("doc_id", "text", "wanted").mapInArrow(_cut, "doc_id long, name long, h long, n int, words string, hashes array<long>")
+    cut = docs.join(wanted.hint("merge"), ["doc_id", "tk"]).select("doc_id", "tk", "text", "wanted").mapInArrow(_cut, "doc_id long, name long, h long, n int, words binary, hashes array<long>")
     cut = scratch.write(cut, "cut")
-    shards = max(1, -(-int(cut.where("words is not null").agg(F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0))).first()[0]) // SHARD_WORDS))
-    shard = F.pmod(F.xxhash64("name"), F.lit(shards)).alias("shard")
-    by_index = cut.where("words is not null").select(shard, "doc_id", "name", "h", "words").groupBy("shard").applyInArrow(_shard, "name long, h long, a int, b int")
-    windows = cut.where("hashes is not null").select("doc_id", "name", "h", F.posexplode("hashes").alias("k", "w"))
-    first = windows.groupBy("name", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    by_hash = windows.join(first.hint("merge"), ["name", "w"]).where("doc_id > first").select("name", "h", F.col("k").alias("a"), (F.col("k") + WINDOW).alias("b"))
-    parts = by_index.union(by_hash).groupBy("name", "h").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
+    parts = _found_by_index(cut, scratch).groupBy("name", "h").agg(F.collect_set(F.struct("a", "b")).alias("parts"))
     # the first document of a segment loses the parts that an earlier one holds, wherever it has the segment; later ones lose it
     lost = held.join(parts, ["name", "h"], "left").where("at.doc_id < last or parts is not null").select("name", "h", F.col("at.doc_id").alias("first"), "parts")
     start, whole = F.col("start"), F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size") + WINDOW - 1).alias("b")))
@@ -225,7 +285,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     out = anchors.join(lost.hint("merge"), ["name", "h"]).select("doc_id", "tk", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(some).alias("r")).where("r is not null")
     out = out.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("r")).alias("ranges"))
     out = scratch.write(out, "ranges")
-    scratch.drop("anchors", "held", "cut")
+    scratch.drop("anchors", "held", "cut", "first", "sizes")
     return out
 
 
@@ -257,8 +317,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def substring_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
 
-    A null text has no words; texts under 50 words lose nothing. Rows that share a doc_id don't take words from each other,
-    rows without doc_id take and lose nothing. Repeated rows give repeated results, no rows none; other columns are ignored.
+    A null or blank text has no words; texts under 50 words lose nothing. Rows that share a doc_id don't take words from each
+    other, rows without doc_id take and lose nothing. Very long texts are read whole. Repeated rows give repeated results, no
+    rows none; other columns are ignored, whatever their names.
     """
     keyed = _keyed(docs, id_col, text_col)
     ranges = repeated_ranges(keyed, Scratch(docs.sparkSession))
@@ -266,17 +327,22 @@ def substring_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
 
 def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the kept words, joined by one space, as the text of documents that lose words; other rows and columns stay."""
-    ranges = repeated_ranges(_keyed(docs, id_col, text_col), Scratch(docs.sparkSession)).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("ranges").alias("_ranges"))
+    """docs with the kept words, joined by one space, as the text of documents that lose words; all else stays as it was, whatever
+    the names of other columns.
 
-    width = len(docs.columns)
+    A document that loses all its words keeps an empty text. Null texts stay null; texts under 50 words, rows without doc_id and
+    blank texts lose nothing; rows that share a doc_id take no words from each other, and equal ones lose the same. Very long
+    texts are read whole. No rows give no rows.
+    """
+    rows, (i, text) = unnamed(docs, id_col, text_col)
+    ranges = repeated_ranges(_keyed(rows, i, text), Scratch(docs.sparkSession)).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("ranges").alias("_ranges"))
+    width, k = len(rows.columns), rows.columns.index(text)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.schema.get_field_index(text_col)
-            text = [t.as_py() if not r.is_valid else b" ".join(_kept_words(t.as_py(), r.as_py())[0]).decode() for t, r in zip(batch.column(k), batch.column("_ranges"), strict=True)]
-            columns = [pa.array(text, batch.schema.field(k).type) if j == k else batch.column(j) for j in range(width)]
+            kept = [t.as_py() if not r.is_valid else b" ".join(_kept_words(t.as_py(), r.as_py())[0]).decode() for t, r in zip(batch.column(k), batch.column(width), strict=True)]
+            columns = [pa.array(kept, batch.schema.field(k).type) if j == k else batch.column(j) for j in range(width)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:width])
 
-    met = docs.join(ranges.hint("merge"), (docs[id_col].cast("long") == F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_tk")), "left")
-    return met.select(*[docs[c] for c in docs.columns], "_ranges").mapInArrow(run, docs.schema)
+    met = rows.join(ranges.hint("merge"), (F.col(i).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_tk")), "left")
+    return met.select(*rows.columns, "_ranges").mapInArrow(run, rows.schema).toDF(*docs.columns)
