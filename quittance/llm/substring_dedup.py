@@ -141,35 +141,39 @@ class FMIndex:
 
     def search(self, texts: list[list]) -> list[list]:
         """For each text, the least owner of each of its windows, None for a window that isn't there. All texts advance together,
-        from their ends; one that meets what isn't there is taken window by window."""
+        from their ends; where one meets words that don't stand so in a row, it starts again with the next window."""
+        window = self.window
         coded = [np.array([self.codes.get(w, -1) for w in t], np.int64) for t in texts]
-        sizes = np.array([len(t) for t in coded], np.int64)
-        padded = np.zeros((len(sizes), max(sizes, default=0)), np.int64)
-        for k, t in enumerate(coded):
-            padded[k, : len(t)] = t[::-1]
-        lost = np.array([bool((t < 0).any()) for t in coded], bool)
-        low, high = np.zeros(len(sizes), np.int64), np.full(len(sizes), len(self.group))
-        owners = np.zeros(padded.shape, np.int64)
-        for step in range(padded.shape[1]):
-            live = np.flatnonzero((sizes > step) & ~lost)
-            a, b = self.extend(padded[live, step], low[live], high[live])
-            lost[live[a >= b]] = True
-            live, a, b = live[a < b], a[a < b], b[a < b]
-            if step + 1 >= self.window:
-                # the first 50 of the words matched so far: all suffixes that begin with them
-                at = self.group[a]
-                a, b = self.low[at], self.high[at]
-                owners[live, step] = self.least_owner[at]
-            low[live], high[live] = a, b
-        out = []
-        for k, n in enumerate(sizes.tolist()):
-            if not lost[k]:
-                out.append(owners[k, self.window - 1 : n][::-1].tolist())
-            elif n <= self.window:
-                out.append([None] * (n == self.window))
-            else:
-                alone = [texts[k][i : i + self.window] for i in range(n - self.window + 1)]
-                out.append([x for found in self.search(alone) for x in found])
+        out = [[None] * max(0, len(t) - window + 1) for t in coded]
+        now = [(k, len(t)) for k, t in enumerate(coded) if len(t) >= window]
+        while now:
+            sizes = np.array([n for _, n in now], np.int64)
+            padded = np.full((len(now), sizes.max()), -1, np.int64)
+            for row, (k, n) in enumerate(now):
+                padded[row, :n] = coded[k][:n][::-1]
+            low, high = np.zeros(len(now), np.int64), np.full(len(now), len(self.group))
+            owners, done = np.zeros(padded.shape, np.int64), np.zeros(len(now), np.int64)
+            live = np.arange(len(now))
+            for step in range(padded.shape[1]):
+                live = live[(sizes[live] > step) & (padded[live, step] >= 0)]
+                if not len(live):
+                    break
+                a, b = self.extend(padded[live, step], low[live], high[live])
+                live, a, b = live[a < b], a[a < b], b[a < b]
+                if step + 1 >= window:
+                    # the first 50 of the words matched so far: all suffixes that begin with them
+                    at = self.group[a]
+                    a, b = self.low[at], self.high[at]
+                    owners[live, step] = self.least_owner[at]
+                low[live], high[live], done[live] = a, b, step + 1
+            after = []
+            for row, ((k, n), matched) in enumerate(zip(now, done.tolist(), strict=True)):
+                if matched >= window:
+                    out[k][n - matched : n - window + 1] = owners[row, window - 1 : matched][::-1].tolist()
+                rest = n - matched + window - 1 if matched >= window else n - 1
+                if matched < n and rest >= window:
+                    after.append((k, rest))
+            now = after
         return out
 
 
@@ -186,34 +190,35 @@ def _shard(key, table):
     """Rows with places are of the index: windows of a segment, by their number in it. The others are segments to stream; their
     windows that the index can hold, by hash, are searched for."""
     table = table.sort_by([("doc_id", "ascending"), ("name", "ascending"), ("h", "ascending")])
-    docs, names, hs = (table[c].to_pylist() for c in ("doc_id", "name", "h"))
+    docs, names, hs, words, places = (table[c].to_pylist() for c in ("doc_id", "name", "h", "words", "places"))
+    hashes = table["hashes"].combine_chunks()
+    at, hashes = hashes.offsets.to_numpy(), hashes.values.to_numpy()
     texts, owners, held = [], [], []
-    streamed = []
-    for row, places in enumerate(table["places"].to_pylist()):
-        if places is None:
-            streamed.append(row)
-            continue
-        words, hashes = table["words"][row].as_py().split(), table["hashes"][row].values.to_numpy()
-        mark = np.zeros(len(hashes), bool)
-        mark[places] = True
-        held.append(hashes[mark])
-        for a, b in spans(mark):
-            texts.append(words[a:b])
-            owners.append(docs[row])
+    for row, found in enumerate(places):
+        if found is not None:
+            mark = np.zeros(at[row + 1] - at[row], bool)
+            mark[found] = True
+            held.append(hashes[at[row] : at[row + 1]][mark])
+            split = words[row].split()
+            for a, b in spans(mark):
+                texts.append(split[a:b])
+                owners.append(docs[row])
     rows: list = []
     if texts:
         known = np.unique(np.concatenate(held))
+        some = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+        until = np.concatenate(([0], np.cumsum(some)))[at]
         asked: dict = {}
         wanted = []
-        for row in streamed:
-            some = np.isin(table["hashes"][row].values.to_numpy(), known)
-            if some.any():
-                words = table["words"][row].as_py().split()
-                wanted += [(row, a, asked.setdefault(tuple(words[a:b]), len(asked))) for a, b in spans(some)]
-        found = FMIndex(texts, np.array(owners)).search([list(t) for t in asked])
+        for row in np.flatnonzero(until[1:] > until[:-1]).tolist():
+            if places[row] is None:
+                split = words[row].split()
+                wanted += [(row, a, asked.setdefault(b" ".join(split[a:b]), len(asked))) for a, b in spans(some[at[row] : at[row + 1]])]
+        found = FMIndex(texts, np.array(owners)).search([t.split(b" ") for t in asked])
         for row, a, k in wanted:
             hit = np.array([x is not None and x < docs[row] for x in found[k]])
-            rows += [(names[row], hs[row], a + x, a + y) for x, y in spans(hit)]
+            if hit.any():
+                rows += [(names[row], hs[row], a + x, a + y) for x, y in spans(hit)]
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _RANGES, strict=True)], schema=_RANGES)
 
 
