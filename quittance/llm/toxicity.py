@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, training_rows
+from .labelled import held_out, in_order, training_table
 
 #: Labelled documents learned from at most; neighbours; examples in a block; blocks that are scored first; folds of calibration.
 SAMPLE, NEIGHBOURS, BLOCK, FIRST, FOLDS = 4_000, 25, 64, 4, 4
@@ -255,6 +256,7 @@ def fit(rows: Iterable[tuple[int, str, int]]) -> Model:
         for k in np.flatnonzero(fold == f):
             vector = _unit(bags[k], weight)
             raw[k] = _vote(index.nearest(*vector, NEIGHBOURS), y[rest], share) if len(vector[0]) else share
+        del index
     weight, index, share = _learned(bags, y, len(number))
     return Model(number, weight, index, np.array(ids, np.int64), y, share, *_calibration(raw, y))
 
@@ -263,7 +265,7 @@ def _scored(shared, evidence: bool):
     """The text column of a batch, which is its last one, to scores, and the evidence for them if it is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model = _model(shared.value)
         names, kept = list(model.vocabulary), {}
         shape = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64()), ("terms", pa.list_(pa.string()))]))
         for batch in batches:
@@ -285,8 +287,29 @@ def _scored(shared, evidence: bool):
     return run
 
 
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model = fit(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, 5)], pa.binary())], ["model"])
+
+
 def _fitted(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str):
-    return docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, label, SAMPLE, id_col=id_col, text_col=text_col)))
+    """The model, pickled, as a broadcast. It is fitted in one task over at most SAMPLE rows, so that their texts and the work on
+    them don't take the driver's memory."""
+    rows = training_table(docs, labels, label, SAMPLE, id_col=id_col, text_col=text_col).repartition(1).sortWithinPartitions(*in_order())
+    found = rows.mapInArrow(_learn, "model binary").first()
+    return docs.sparkSession.sparkContext.broadcast(bytes(found["model"]) if found else pickle.dumps(fit([]), 5))
+
+
+_models: dict[bytes, Model] = {}
+
+
+def _model(pickled: bytes) -> Model:
+    """The model, kept for the next task of this worker."""
+    key = hashlib.blake2b(pickled, digest_size=16).digest()
+    if key not in _models:
+        _models.clear()
+        _models[key] = pickle.loads(pickled)
+    return _models[key]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
