@@ -90,6 +90,12 @@ class BlockMaxIndex:
         largest = np.maximum.reduceat(weight, start) if len(start) else weight
         return cls(vectors, example, weight, np.searchsorted(term[start], np.arange(n_terms + 1)), block[start], largest, np.append(start, len(term)), len(vectors))
 
+    def __reduce__(self):
+        """Pickled as its vectors; the lists are built again."""
+        sizes = np.array([len(ids) for ids, _ in self.vectors], np.int32)
+        ids, weights = (np.concatenate([v[k] for v in self.vectors] or [np.zeros(0, np.int32)]) for k in (0, 1))
+        return _rebuilt, (sizes, ids, weights, len(self.first_entry) - 1)
+
     @functools.cached_property
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of each term, -1 without one; weights by row and example; the largest by row and block)."""
@@ -152,6 +158,11 @@ class BlockMaxIndex:
         return np.bincount(self.example[posting], self.weight[posting] * weights, minlength=self.size)
 
 
+def _rebuilt(sizes: np.ndarray, ids: np.ndarray, weights: np.ndarray, n_terms: int) -> BlockMaxIndex:
+    ends = np.cumsum(sizes)[:-1]
+    return BlockMaxIndex.build(list(zip(np.split(ids, ends), np.split(weights, ends), strict=True)) if len(sizes) else [], n_terms)
+
+
 def _vote(near: list[tuple[float, int]], labels: np.ndarray, share: float) -> float:
     """Votes weigh 1 / (distance + 0.05), and the label's share stands in for one distant vote."""
     weights = [1 / (1.05 - s) for s, _ in near]
