@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
 from .money import detect_currency, let
 
+#: Decimal digits of all scripts but ASCII, each script's from 0 to 9.
+_DIGITS = "".join(c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c) == "Nd")
 _NAMES = "|".join(sorted(fixed.MONTHS, key=len, reverse=True))
 
 
@@ -35,7 +39,7 @@ def extract_date(text: Column, currency: Column) -> Column:
     """ISO, then day and month name, then month name and day, then numbers: day first, in dollars month first, the other order
     if that is impossible. The first valid date of the first of these that has one; null without."""
     currency = F.when(F.coalesce(currency, F.lit("")) != "", currency).otherwise(detect_currency(text, "IDR"))
-    n = lambda x: x.cast("int")
+    n = lambda x: F.translate(x, _DIGITS, "0123456789" * (len(_DIGITS) // 10)).try_cast("int")
 
     def find(x):
         def numeric(a, b, y):
@@ -43,10 +47,10 @@ def extract_date(text: Column, currency: Column) -> Column:
             return F.when(x["currency"] == "USD", F.coalesce(month_first, day_first)).otherwise(F.coalesce(day_first, month_first))
 
         return F.coalesce(
-            _first(x["text"], r"\b(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})\b", lambda y, m, d: valid_date(n(y), n(m), n(d))),
-            _first(x["text"], rf"\b(\d{{1,2}})[\s\-/.,]*((?i:{_NAMES}))[\s\-/.,]*(\d{{2,4}})\b", lambda d, m, y: valid_date(n(y), month_number(m), n(d))),
-            _first(x["text"], rf"\b((?i:{_NAMES}))\.?\s+(\d{{1,2}})(?i:st|nd|rd|th)?\s*,?\s*(\d{{4}})\b", lambda m, d, y: valid_date(n(y), month_number(m), n(d))),
-            _first(x["text"], r"\b(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4})\b", numeric),
+            _first(x["text"], fixed.ISO_DATE, lambda y, m, d: valid_date(n(y), n(m), n(d))),
+            _first(x["text"], fixed.DAY_NAME_DATE.replace("MONTH", _NAMES), lambda d, m, y: valid_date(n(y), month_number(m), n(d))),
+            _first(x["text"], fixed.NAME_DAY_DATE.replace("MONTH", _NAMES), lambda m, d, y: valid_date(n(y), month_number(m), n(d))),
+            _first(x["text"], fixed.NUMERIC_DATE, numeric),
         )
 
     return let(F.struct(text.alias("text"), currency.alias("currency")), find)

@@ -45,6 +45,12 @@ IDR_MARK = r"(?i)(?<![A-Za-z])(?:Rp|IDR|rupiah)(?![A-Za-z])"
 MONEY = r"\d[\d.,]*\d|\d"
 ADDRESS = r"(?i)\b(jl\.?|jalan|blok|ruko|gedung|lantai|kav\.?|rt\.?\s*\d|rw\.?\s*\d|no\.?\s*\d)\b"
 HEADER_ADDRESS = r"\b(jl|jalan|telp|tlp|phone|no\.?\s*\d)\b"
+#: Patterns of dates; MONTH stands for the month names.
+ISO_DATE = r"\b(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})\b"
+DAY_NAME_DATE = r"\b(\d{1,2})[\s\-/.,]*((?i:MONTH))[\s\-/.,]*(\d{2,4})\b"
+NAME_DAY_DATE = r"\b((?i:MONTH))\.?\s+(\d{1,2})(?i:st|nd|rd|th)?\s*,?\s*(\d{4})\b"
+NUMERIC_DATE = r"\b(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4})\b"
+#: Ends of lines.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 #: Zero-width marks, arrows and dingbats, variation selectors, private use, emoji.
 UNDRAWABLE = r"[\x{200b}-\x{200f}\x{feff}\x{2190}-\x{2bff}\x{fe00}-\x{fe0f}\x{e000}-\x{f8ff}\x{1f000}-\x{1faff}]"

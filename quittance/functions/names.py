@@ -14,20 +14,29 @@ from .money import contains_any, let, lines_of
 
 
 @F.pandas_udf(StringType())
-def normalize(text: pd.Series) -> pd.Series:
-    """NFKC; no built-in function has it. Text that is ASCII doesn't need it."""
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
 @F.pandas_udf(StringType())
-def normalize_title(text: pd.Series) -> pd.Series:
-    """NFKC, case folded, white space collapsed."""
-    return text.map(lambda x: " ".join(unicodedata.normalize("NFKC", x or "").casefold().split()))
+def _folded(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
 
 
-def plain_title(text: Column) -> Column:
-    """normalize_title for ASCII text, without leaving the JVM."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+def _beyond_ascii(text: Column) -> Column:
+    """text where it isn't ASCII, else null, so that Python is handed nothing else."""
+    return F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), text)
+
+
+def normalize(text: Column) -> Column:
+    """NFKC; no built-in function has it. ASCII text, which it leaves as it is, stays in the JVM."""
+    return F.coalesce(_nfkc(_beyond_ascii(text)), text)
+
+
+def normalize_title(text: Column) -> Column:
+    """NFKC, case folded, white space collapsed; '' for null. ASCII text stays in the JVM."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+    return F.coalesce(_folded(_beyond_ascii(text)), plain)
 
 
 def extract_name(text: Column) -> Column:

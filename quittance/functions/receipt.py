@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from .dates import extract_date
 from .money import detect_currency, extract_amount, format_amount, let
-from .names import extract_name, guess_category
+from .names import extract_name, guess_category, normalize
 
 
 def parse_receipt(text: Column, allowed: list[str], fallback_date: str = "", default_currency: str = "") -> Column:
     """struct<entry_date, category, name, amount, currency>, all strings, '' for unknown. A blank text has the fallback date and
-    category and no currency, not even the default one."""
+    category and no currency, not even the default one. Rules read the text in NFKC."""
+    text = normalize(text)
     blank = F.trim(F.coalesce(text, F.lit(""))) == ""
 
     def fields(x):

@@ -9,19 +9,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ledger import key_parts, key_text
+from ..session import shared_folder
+from .ledger import key_parts, key_text, numbered
 
 
 def _components(links: DataFrame) -> DataFrame:
     """links: (x, y) strings. (node, component) by the least label, pointers doubled each round; lineage is cut by checkpoints."""
     spark = links.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     both = links.union(links.select("y", "x")).toDF("node", "near").distinct().checkpoint()
     labels = both.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("label")).checkpoint()
     while True:
@@ -38,7 +37,7 @@ def apply_events(rows: DataFrame, events: DataFrame) -> DataFrame:
 
     In the order of seq: an event whose key another entry has updates that one, keeping its notes if it brings none, and an edited
     entry goes; else an edited entry is updated in place, notes and all; a record_id that isn't there inserts. Inserts take the
-    next ids in order.
+    next ids in order, and no id is given twice.
     """
     columns = [c for c in events.columns if c not in ("seq", "record_id", "at")]
     old = rows.withColumn("seq", F.lit(-1).cast("long")).withColumn("record_id", F.col("id").cast("long")).withColumn("at", F.col("created_at"))
@@ -51,37 +50,46 @@ def apply_events(rows: DataFrame, events: DataFrame) -> DataFrame:
     # entries that inserts make may be edited later by id; ids of one batch aren't known to its callers, so none are linked
     links = every.where("record_id is not null and _key is not null").select(F.col("_node").alias("x"), F.concat(F.lit("k"), "_key").alias("y"))
     found = every.join(_components(links), every["_node"] == F.col("node"), "left").withColumn("_part", F.coalesce("component", "_node")).drop("node", "component")
-    schema = "id long, born long, created_at string, updated_at string, " + ", ".join(f"{c} {dict(events.dtypes)[c]}" for c in columns)
+    schema = "id long, _first long, _gone boolean, created_at string, updated_at string, " + ", ".join(f"{c} {dict(events.dtypes)[c]}" for c in columns)
 
     def fold(batch: pd.DataFrame) -> pd.DataFrame:
         entries: dict = {}
+        holder: dict = {}  # the entry that has a key
+        gone: list = []
+
+        def put(name, values):
+            was = entries.get(name, {})
+            if was.get("_key") is not None and holder.get(was["_key"]) == name:
+                del holder[was["_key"]]
+            entries[name] = was | values
+            if entries[name]["_key"] is not None:
+                holder.setdefault(entries[name]["_key"], name)
+
         for e in batch.sort_values(["seq", "record_id"]).astype(object).where(batch.notna(), None).to_dict("records"):
             values = {c: e[c] for c in columns}
             stamp = {"_key": e["_key"], "updated_at": e["updated_at"]}
             if e["seq"] < 0:
-                entries["i", e["record_id"]] = values | stamp | {"id": e["record_id"], "born": -1, "created_at": e["at"]}
+                put(("i", e["record_id"]), values | stamp | {"id": e["record_id"], "_first": -1, "created_at": e["at"]})
                 continue
-            name = None if e["record_id"] is None else ("i", e["record_id"])
-            match = next((k for k, v in entries.items() if e["_key"] is not None and v["_key"] == e["_key"]), None)
-            target = name
+            target = name = None if e["record_id"] is None else ("i", e["record_id"])
+            match = holder.get(e["_key"])
             if match is not None and match != name:
                 target = match
-                entries.pop(name, None)
+                if name in entries:
+                    put(name, {"_key": None})
+                    gone.append(entries.pop(name))
                 if not (values.get("notes") or "").strip():
                     values["notes"] = entries[match].get("notes")
             if target in entries:
-                entries[target].update(values | stamp)
+                put(target, values | stamp)
             else:
-                entries["s", e["seq"]] = values | stamp | {"id": None, "born": e["seq"], "created_at": e["at"]}
-        out = pd.DataFrame(list(entries.values()), columns=["id", "born", "created_at", "updated_at", *columns])
-        return out.astype({"id": "Int64", "born": "int64"})
-
-    folded = found.groupBy("_part").applyInPandas(fold, schema)
-    top = rows.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    # every insert takes an id, also one that a later event merges away; which events insert shows in the fold alone, so ids
-    # follow the order of the entries that are left
-    fresh = folded.where("born >= 0").withColumn("id", F.lit(top) + F.row_number().over(Window.orderBy("born")))
-    return folded.where("born < 0").unionByName(fresh).drop("born")
+                put(("s", e["seq"]), values | stamp | {"id": None, "_first": e["seq"], "created_at": e["at"]})
+        rows = [x | {"_gone": False} for x in entries.values()] + [x | {"_gone": True} for x in gone]
+        out = pd.DataFrame(rows, columns=["id", "_first", "_gone", "created_at", "updated_at", *columns])
+        return out.astype({"id": "Int64", "_first": "int64", "_gone": "bool"})
+
+    # an entry that is gone keeps its id from being given again
+    return numbered(found.groupBy("_part").applyInPandas(fold, schema)).where("not _gone").drop("_gone")
 
 
 class Snapshots:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import cents
-from ..functions.names import normalize_title, plain_title
+from ..functions.names import normalize_title
 
 #: Columns a caller writes, with their types; the engine owns id, dedupe_key, created_at and updated_at.
 COLUMNS = {
@@ -24,10 +24,10 @@ def conform(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in ("id", "created_at", "updated_at", "seq") if c in have], *out)
 
 
-def key_parts(unicode: bool = False) -> Column:
+def key_parts() -> Column:
     """struct<title, cents, currency, date> that equal entries share, null where one of title, amount or date is missing. Group by
-    the struct; the text form is for output. unicode folds beyond ASCII, in Python."""
-    title = normalize_title(F.col("name")) if unicode else plain_title(F.col("name"))
+    the struct; the text form is for output. Titles are compared in NFKC and case folded."""
+    title = normalize_title(F.col("name"))
     date = F.trim(F.coalesce(F.col("entry_date"), F.lit("")))
     key = F.struct(title.alias("title"), cents(F.col("amount")).alias("cents"), F.upper(F.trim(F.coalesce("currency", F.lit("")))).alias("currency"), date.alias("date"))
     return F.when((key["title"] != "") & key["cents"].isNotNull() & (date != ""), key)
@@ -105,10 +105,10 @@ def upsert(rows: DataFrame, events: DataFrame) -> DataFrame:
     noted = F.max_by("notes", F.when(filled, F.col("seq")))
     merged = every.where("_key is not null").groupBy("_key").agg(F.min("seq").alias("_first"), F.max("id").alias("id"), F.min_by("at", "seq").alias("created_at"), last.alias("_last"), noted.alias("_noted"), F.min_by("notes", "seq").alias("_first_notes"))
     merged = merged.select("_first", "id", "created_at", "_last.updated_at", *[F.coalesce("_noted", "_first_notes").alias("notes") if c == "notes" else F.col(f"_last.{c}").alias(c) for c in columns])
-    return _numbered(merged.unionByName(single))
+    return numbered(merged.unionByName(single))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame) -> DataFrame:
     """Ids for new entries, after the largest known, by first event. Ranges of events are counted first, so that no task orders
     all of them."""
     top = rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))

@@ -99,22 +99,15 @@ def queue_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENTS = "steps as (select user_id as item, event_id as seq, case event_type when 'click' then 'begin' when 'view' then 'stage' when 'purchase' then 'done' when 'error' then 'failed' else 'saved' end as event from events)"
 
 
-def _mails(spark: SparkSession, sf_dir: str, said) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.when(x["role"] == "assistant", F.concat(F.lit("Toko: "), said(x["text"]))).otherwise(x["text"])), "\n").alias("body"))
-    return rows.select(F.col("conv_id").alias("id"), "body", F.when(F.col("conv_id") % 5 == 0, "").otherwise(F.col("body")).alias("body_text"), F.when(F.col("conv_id") % 5 == 1, "<p>x</p>").otherwise("").alias("body_html"), (F.col("conv_id") % 4).cast("int").alias("n_images"))
-
-
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as messages: body has all turns whole; body_text is empty in every fifth message, so that some are skipped."""
-    return _mails(spark, sf_dir, lambda text: text)
-
-
-def brief_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages of MAILS, which has only the first 60 characters of an assistant's first line."""
-    return _mails(spark, sf_dir, lambda text: F.left(F.split_part(text, F.lit("\n"), F.lit(1)), F.lit(60)))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    said = lambda x: F.when(x["role"] == "assistant", F.concat(F.lit("Toko: "), x["text"])).otherwise(x["text"])
+    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, said), "\n").alias("body"))
+    return rows.select(F.col("conv_id").alias("id"), "body", F.when(F.col("conv_id") % 5 == 0, "").otherwise(F.col("body")).alias("body_text"), F.when(F.col("conv_id") % 5 == 1, "<p>x</p>").otherwise("").alias("body_html"), (F.col("conv_id") % 4).cast("int").alias("n_images"))
 
 
-MAILS = """bodies as (select conv_id, string_agg(case when role = 'assistant' then 'Toko: ' || left(split_part(text, chr(10), 1), 60) else text end, chr(10) order by turn, role, text) as body from conversations group by 1),
+MAILS = """bodies as (select conv_id, string_agg(case when role = 'assistant' then 'Toko: ' || text else text end, chr(10) order by turn, role, text) as body from conversations group by 1),
 mails as (select conv_id as id, case when conv_id % 5 = 0 then '' else body end as body_text, case when conv_id % 5 = 1 then '<p>x</p>' else '' end as body_html, cast(conv_id % 4 as int) as n_images from bodies)"""
 
 

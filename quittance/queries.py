@@ -213,7 +213,7 @@ def mail_lookup(spark, sf_dir):
 
 @query(f"with {bridge.TEXTS}, counts as (select id, {_USD.format(s='text')} as usd, {_IDR.format(s='text')} as idr from texts) select id, case when usd > idr then 'USD' when idr > usd then 'IDR' else 'none' end as currency from counts")
 def detect_currency(spark, sf_dir):
-    return bridge.receipt_texts(spark, sf_dir).select("id", money.detect_currency(F.col("text"), "none").alias("currency"))
+    return bridge.receipt_texts(spark, sf_dir).select("id", money.detect_currency(names.normalize(F.col("text")), "none").alias("currency"))
 
 
 _TOKENS = f"tokens as (select id, line, unnest(regexp_extract_all(line, '[0-9][0-9.,]*[0-9]|[0-9]')) as token from (select id, unnest(string_split(text, chr(10))) as line from texts)), valued as (select *, {_sql_number('token')} as value, len(regexp_replace(token, '[.,]', '', 'g')) as digits from tokens)"
@@ -251,13 +251,13 @@ _LINES = (
 
 @query(f"with {bridge.TEXTS}, {_LINES} select t.id, case when a.amount is null then '' when a.amount = floor(a.amount) then cast(cast(a.amount as bigint) as varchar) else cast(cast(a.amount as decimal(16,2)) as varchar) end as amount from texts t left join amounts a using (id)")
 def extract_amount(spark, sf_dir):
-    return bridge.receipt_texts(spark, sf_dir).select("id", money.format_amount(money.extract_amount(F.col("text"), F.lit(""))).alias("amount"))
+    return bridge.receipt_texts(spark, sf_dir).select("id", money.format_amount(money.extract_amount(names.normalize(F.col("text")), F.lit(""))).alias("amount"))
 
 
 @query(f"with {bridge.TEXTS}, {_LINES} select m.id, case o_orderkey % 6 when 5 then null when 3 then case when day(o_orderdate) >= 10 then '20' || strftime(o_orderdate, '%d') || '-' || strftime(o_orderdate, '%m') || '-05' else strftime(o_orderdate, '%Y-%m-%d') end when 1 then coalesce(case when m.currency = 'USD' and day(o_orderdate) <= 12 then strftime(o_orderdate, '%Y-%d-%m') end, strftime(o_orderdate, '%Y-%m-%d')) when 4 then coalesce(case when m.currency <> 'USD' and day(o_orderdate) <= 12 then strftime(o_orderdate, '%Y-%d-%m') end, strftime(o_orderdate, '%Y-%m-%d')) else strftime(o_orderdate, '%Y-%m-%d') end as entry_date from money m join orders on o_orderkey = m.id")
 def extract_date(spark, sf_dir):
     """Matches cross lines: the 5 of the address before a line "Jul 25, 1997" makes 5 July 2025, as the rules say."""
-    return bridge.receipt_texts(spark, sf_dir).select("id", dates.extract_date(F.col("text"), F.lit("")).alias("entry_date"))
+    return bridge.receipt_texts(spark, sf_dir).select("id", dates.extract_date(names.normalize(F.col("text")), F.lit("")).alias("entry_date"))
 
 
 _INPUT = "case o_orderkey % 5 when 0 then {a} when 1 then {b} when 2 then {c} when 3 then {d} else 'soon' end"
@@ -282,7 +282,7 @@ _SCORES = ", ".join(f"{{'s': {' + '.join(f'case when contains(low, {chr(39)}{w}{
 
 @query(f"with {bridge.TEXTS}, scored as (select id, list_sort([{_SCORES}], 'DESC')[1] as b from (select id, lower(text) as low from texts)) select id, case when b.s > 0 then b.c else '{fixed.OTHER_CATEGORY}' end as category from scored")
 def guess_category(spark, sf_dir):
-    return bridge.receipt_texts(spark, sf_dir).select("id", names.guess_category(F.col("text"), CATEGORIES).alias("category"))
+    return bridge.receipt_texts(spark, sf_dir).select("id", names.guess_category(names.normalize(F.col("text")), CATEGORIES).alias("category"))
 
 
 _NOISE = _sql_in("lower(line)", fixed.NOT_NAME)
@@ -296,7 +296,7 @@ _NOISE = _sql_in("lower(line)", fixed.NOT_NAME)
     "best as (select doc_id, max({'s': score, 'l': line}).l as line from good group by 1) select d.doc_id, left(b.line, 120) as name from documents d left join best b using (doc_id)"
 )
 def extract_name(spark, sf_dir):
-    return bridge.read(spark, sf_dir, "documents").select("doc_id", names.extract_name(F.col("text")).alias("name"))
+    return bridge.read(spark, sf_dir, "documents").select("doc_id", names.extract_name(names.normalize(F.col("text"))).alias("name"))
 
 
 @query()
@@ -306,7 +306,7 @@ def parse_receipts(spark, sf_dir):
 
 @query(f"with {bridge.RECEIPTS} select id, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) as title from receipts")
 def title_normalised(spark, sf_dir):
-    return bridge.receipts(spark, sf_dir).select("id", names.normalize_title("name").alias("title"))
+    return bridge.receipts(spark, sf_dir).select("id", names.normalize_title(F.col("name")).alias("title"))
 
 
 @query(f"with {bridge.RECEIPTS} select id, left(case when trim(regexp_replace(name, '[^A-Za-z0-9._-]+', '_', 'g'), '._') = '' then 'attachment' else trim(regexp_replace(name, '[^A-Za-z0-9._-]+', '_', 'g'), '._') end, 60) as safe from receipts")
@@ -335,14 +335,8 @@ def work_items(spark, sf_dir):
     return mail.work_items(rows).groupBy("route").agg(F.count("*").alias("items"))
 
 
-@query(f"with {bridge.MAILS}, ls as (select id, unnest(string_split(body_text, chr(10))) as line, generate_subscripts(string_split(body_text, chr(10)), 1) as k from mails), vals as (select id, k, left(trim(trim(regexp_replace(split_part(regexp_replace(line, '^[^:]*:', ''), ',', 1), '\\s+', ' ', 'g'), ' -–—:'), ' -–—,:'), 70) as v from ls where starts_with(lower(trim(line)), 'toko')), best as (select id, arg_min(v, k) as v from vals where len(v) >= 3 group by 1) select m.id, coalesce(b.v, 'Sender ' || (m.id % 9)) as merchant from mails m left join best b using (id)")
-def merchant_guess(spark, sf_dir):
-    rows = bridge.brief_mails(spark, sf_dir)
-    return rows.select("id", names.merchant_guess(F.col("body_text"), F.concat(F.lit("Sender "), (F.col("id") % 9).cast("string")), F.lit("a@b")).alias("merchant"))
-
-
 @query()
-def merchant_guess_whole(spark, sf_dir):
+def merchant_guess(spark, sf_dir):
     rows = bridge.mails(spark, sf_dir)
     return rows.select("id", names.merchant_guess(F.col("body"), F.concat(F.lit("Sender "), (F.col("id") % 9).cast("string")), F.lit("a@b")).alias("merchant"))
 

@@ -14,6 +14,8 @@ from ..functions.fixed import LINE_ENDS
 _DROPPED = {"script", "style", "head", "title"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _LINES = re.compile(LINE_ENDS)
+#: Fixed value: fewer rows of cells than this are taken for layout.
+LEAST_ROWS = 3
 
 
 class _Rows(HTMLParser):
@@ -69,21 +71,34 @@ class _Rows(HTMLParser):
             self._say(data)
 
 
+def _tight(text: str) -> str:
+    return " ".join(text.split())
+
+
+def _table_rows(parser: _Rows) -> list[list[str]]:
+    """Cells with text of the innermost rows that have one."""
+    found = []
+    for row in parser.rows:
+        texts = [_tight(" ".join(pieces)) for pieces in row["cells"]] if row["inner"] else []
+        if any(texts):
+            found.append([t for t in texts if t])
+    return found
+
+
 def structured_rows(html: str | None) -> list[list[str]]:
     """Cells of each innermost table row, empty ones left out; with fewer than three such rows one cell per line of text."""
     parser = _Rows()
     parser.feed(html or "")
     parser.close()
-    clean = lambda parts: " ".join(" ".join(p.strip() for p in parts).split())
-    rows = [[c for c in map(clean, row["cells"]) if c] for row in parser.rows if row["inner"]]
-    rows = [r for r in rows if r]
-    if len(rows) < 3:
-        rows = [[" ".join(line.split())] for line in _LINES.split("\n".join(parser.texts))]
-    return [r for r in rows if any(c.strip() for c in r)]
+    table = _table_rows(parser)
+    if len(table) >= LEAST_ROWS:
+        return table
+    return [[line] for line in map(_tight, _LINES.split("\n".join(parser.texts))) if line]
 
 
 def html_to_text(html: str | None) -> str:
-    return "\n".join(line for line in ("   ".join(r).strip() for r in structured_rows(html)) if line)
+    """Rows as lines, their cells three spaces apart."""
+    return "\n".join("   ".join(row) for row in structured_rows(html))
 
 
 @F.pandas_udf(ArrayType(ArrayType(StringType())))

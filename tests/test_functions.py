@@ -91,3 +91,15 @@ def test_titles_and_safe_names(spark):
 ])
 def test_parse_receipt(spark, text, want):
     assert tuple(column(spark, [(text, None)], lambda a, b: parse_receipt(a, CATEGORIES, "F", "IDR"))[0]) == want
+
+
+def test_text_beyond_ascii(spark):
+    """Full-width and non-breaking forms count as their plain ones; digits of any script make dates and stop no job."""
+    nbsp = "\u00a0"
+    plain = lambda f: lambda a, b: f(names.normalize(a))
+    assert column(spark, [("Ｒｐ 44.000", None), ("ＵＳＤ 5", None), ("Rp" + nbsp + "5", None), ("Rp 5", None), (None, None)], plain(money.detect_currency)) == ["IDR", "USD", "IDR", "IDR", ""]
+    assert column(spark, [("Total" + nbsp + "Rp" + nbsp + "44.000", None), ("Ｔｏｔａｌ Ｒｐ ４４.０００", None)], lambda a, b: money.format_amount(money.extract_amount(names.normalize(a), F.lit("")))) == ["44000", "44000"]
+    dated = [("１２/０３/２０２４", None), ("٠٣/٠٤/٢٠٢٤", None), ("२०२४-०१-०५", None), ("99999999999/1/2024", None)]
+    assert column(spark, dated, lambda a, b: dates.extract_date(a, F.lit("IDR"))) == ["2024-03-12", "2024-04-03", "2024-01-05", None]
+    got = tuple(column(spark, [("ＴＯＫＯ ＭＡＪＵ\n２０２４-０１-０５\nＴｏｔａｌ Ｒｐ ４４.０００", None)], lambda a, b: parse_receipt(a, CATEGORIES, "F", ""))[0])
+    assert (got[0], got[2], got[3], got[4]) == ("2024-01-05", "TOKO MAJU", "44000", "IDR")

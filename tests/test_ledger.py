@@ -20,7 +20,7 @@ def test_keys(spark):
     got = {r["id"]: r["k"] for r in df.select("id", ledger.key_text(ledger.key_parts()).alias("k")).collect()}
     assert got == {1: '["grab ride",4400000,"IDR","2026-07-14"]', 2: None, 3: None, 4: None, 5: '["q\\"\\\\",30,"","2026-01-01"]'}
     wide = rows(spark, [(1, "Ｇｒａｂ", 1.0, "d", "", None), (2, "grab", 1.0, "d", "", None)])
-    assert wide.select(ledger.key_parts(unicode=True).alias("k")).distinct().count() == 1
+    assert wide.select(ledger.key_parts().alias("k")).distinct().count() == 1
 
 
 def test_ranges_and_lookups(spark):

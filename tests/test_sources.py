@@ -43,6 +43,16 @@ def test_mbox(spark, tmp_path):
         spark.read.format("mbox").load(str(tmp_path / "none.mbox")).count()
 
 
+def test_senders(tmp_path):
+    raw = ["From: =?utf-8?q?Toko=2C_Jaya?= <a@b.id>", "From: c@d.id", "From: ", "From: A <x@y>, B <z@y>", "Subject: =?nope?q?x?="]
+    with open(tmp_path / "s.mbox", "w") as f:
+        for k, line in enumerate(raw):
+            f.write(f"From x Thu Jan  1 00:00:00 2026\n{line}\nMessage-ID: <{k}@x>\nContent-Type: text/plain; charset=nope\n\nhi\n\n")
+    rows = list(mbox.read_mbox(str(tmp_path / "s.mbox")))
+    assert [r[3:5] for r in rows] == [("Toko, Jaya", "a@b.id"), ("c@d.id", "c@d.id"), ("", ""), ("A", "x@y"), ("", "")]
+    assert [r[5] for r in rows] == [f"<{k}@x>" for k in range(5)] and all(r[8] == "hi" for r in rows)
+
+
 @pytest.mark.parametrize("html,want", [
     ("<table><tr><td>Fare</td><td>44.000</td></tr><tr><td>Fee&nbsp;</td><td> 1 </td></tr><tr><th>Total</th><td>45.000</td></tr></table>", [["Fare", "44.000"], ["Fee", "1"], ["Total", "45.000"]]),
     ("<table><tr><td><table><tr><td>a</td></tr><tr><td>b</td><td></td></tr><tr><td>c</td></tr></table></td></tr></table>", [["a"], ["b"], ["c"]]),
