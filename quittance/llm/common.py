@@ -3,35 +3,18 @@
 from __future__ import annotations
 
 import contextlib
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Characters that end a word: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own, as
-    all its tasks run on one machine; a cluster gets an error, as its machines share no folder that could be guessed."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir is not set: name a folder there that the driver and all executors share")
-        if context.applicationId not in _own:
-            _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='quittance-')}"
-        found = _own[context.applicationId]
-    return found.rstrip("/")
-
-
 def _delete(spark: SparkSession, where: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -60,7 +43,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/quittance-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/quittance-{uuid.uuid4().hex}"
         if _made:
             _made[-1].append(self.root)
         else:
