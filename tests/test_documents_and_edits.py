@@ -87,7 +87,7 @@ def test_edits(spark, seed):
     events = [{"seq": k, "record_id": r.choice([None, None, 1, 2, 3, 4, 5, 99]), "at": f"e{k}", "name": r.choice("aAbcdef") if r.random() < 0.9 else "", "amount": 1.0, "entry_date": "d", "currency": "IDR", "notes": r.choice([None, " ", f"n{k}"])} for k in range(12)]
     schema = "name string, amount double, entry_date string, currency string, notes string"
     got = apply_events(spark.createDataFrame([tuple(x.values()) for x in old], "id long, created_at string, updated_at string, " + schema), spark.createDataFrame([tuple(x.values()) for x in events], "seq long, record_id long, at string, " + schema))
-    fields = ["name", "amount", "entry_date", "currency", "notes", "created_at", "updated_at"]
+    fields = ["id", "name", "amount", "entry_date", "currency", "notes", "created_at", "updated_at"]
     assert sorted([tuple(x[c] for c in fields) for x in got.collect()], key=str) == sorted([tuple(x[c] for c in fields) for x in brute(old, events)], key=str)
     assert len({x["id"] for x in got.collect()}) == got.count()
 
