@@ -16,6 +16,8 @@ from .common import Scratch, ascii_lower
 #: Distinct labelled URLs that the trees are fitted on at most, the least by hash of the URL; bins of a feature; trees and depth.
 SAMPLE, BINS, TREES, DEPTH = 20_000, 12, 10, 3
 RATE, SMOOTH, LEAST_ROWS = 0.3, 1.0, 5
+#: Folds of labelled URLs: the trees learn what a suffix's rate tells from rates without the URL's own fold.
+FOLDS = 5
 FEATURES = ("length", "host_length", "path_length", "depth", "digits", "entropy", "parameters", "hyphens", "labels", "secure", "fragment", "zone_rate", "site_rate")
 
 Rule = tuple[str, str, str]
@@ -57,9 +59,23 @@ def _suffix(host: Column, labels: int) -> Column:
     return F.substring_index(host, ".", -labels)
 
 
-def _suffix_rates(counted: DataFrame, labels: int) -> DataFrame:
-    """Smoothed share of blocked URLs by the host's last labels, over all labelled URLs (host, y, n)."""
-    return counted.groupBy(_suffix(F.col("host"), labels).alias(f"s{labels}")).agg(((F.sum(F.col("y") * F.col("n")) + SMOOTH * 0.5) / (F.sum("n") + SMOOTH)).alias(f"r{labels}"))
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
+def _suffix_counts(counted: DataFrame, labels: int) -> DataFrame:
+    """By the host's last labels, over all labelled URLs (u, host, y, n): rows and blocked rows, also of each fold."""
+    at = _fold(F.col("u"))
+    by_fold = [F.sum(F.when(at == k, c).otherwise(0)) for k in range(FOLDS) for c in (F.col("n"), F.col("y") * F.col("n"))]
+    return counted.groupBy(_suffix(F.col("host"), labels).alias(f"s{labels}")).agg(F.sum("n").alias(f"n{labels}"), F.sum(F.col("y") * F.col("n")).alias(f"y{labels}"), F.array(*by_fold).alias(f"f{labels}"))
+
+
+def _rate(labels: int, prior: float, fold: Column | None) -> Column:
+    """Smoothed share of blocked URLs of a suffix, without those of fold if one is given; the prior for an unknown suffix."""
+    n, y = F.coalesce(f"n{labels}", F.lit(0)), F.coalesce(f"y{labels}", F.lit(0))
+    if fold is not None:
+        n, y = (x - F.coalesce(F.element_at(f"f{labels}", 2 * fold + k), F.lit(0)) for k, x in ((1, n), (2, y)))
+    return (y + SMOOTH * prior) / (n + SMOOTH)
 
 
 def _score(trees: list, names: dict[str, Column]) -> Column:
@@ -134,8 +150,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, labelled: DataFrame | No
     ('allow' or 'block': the rule's, else the trees'), block_score (probability by the trees).
 
     labelled: (url, y) with y 1 for block; by default the URLs that a rule judges. Trees see SAMPLE distinct ones at most,
-    weighted by their rows; rates of zones and sites are of all. Null URLs
-    count as empty ones. Without labels of both kinds the score is the smoothed share of blocked URLs, 0.5 without any.
+    weighted by their rows; rates of zones and sites are of all, and for the trees' own rows of all but the FOLDS-th part that the
+    URL is in, so that a URL's label isn't among its features. Null URLs count as empty ones. Without labels of both kinds the score is the smoothed share of blocked URLs, 0.5 without any.
     Equal URLs get equal verdicts; no rows give no rows; other columns are ignored.
     """
     scratch = Scratch(pages.sparkSession)
@@ -151,17 +167,17 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, labelled: DataFrame | No
         known = parts(labelled.where("url is not null and y is not null").select(F.col("url").alias("u"), F.col("y").cast("long").alias("y"))).select("u", "host", "path", "y")
     counted = scratch.write(known.groupBy("u", "host", "path", "y").agg(F.count("*").alias("n")), "counted")
     sample = scratch.write(counted.orderBy(F.xxhash64("u"), "u", "y").limit(SAMPLE), "sample")
-    rates = [scratch.write(_suffix_rates(counted, k), f"rate{k}") for k in (1, 2)]
+    known_suffixes = [scratch.write(_suffix_counts(counted, k), f"suffix{k}") for k in (1, 2)]
     prior = counted.agg(((F.sum(F.col("y") * F.col("n")) + 0.5) / (F.sum("n") + 1)).alias("p")).first()[0]
     prior = 0.5 if prior is None else float(prior)
 
-    def featured(df: DataFrame) -> DataFrame:
-        for k, r in zip((1, 2), rates, strict=True):  # as many rows as there are suffixes: no hint to broadcast
+    def featured(df: DataFrame, fold: Column | None = None) -> DataFrame:
+        for k, r in zip((1, 2), known_suffixes, strict=True):  # as many rows as there are suffixes: no hint to broadcast
             df = df.withColumn(f"s{k}", _suffix(F.col("host"), k)).join(r, f"s{k}", "left")
         lexical = _lexical(F.col("u"), F.col("host"), F.col("path"))
-        return df.withColumns(lexical | {"zone_rate": F.coalesce("r1", F.lit(prior)), "site_rate": F.coalesce("r2", F.lit(prior))})
+        return df.withColumns(lexical | {"zone_rate": _rate(1, prior, fold), "site_rate": _rate(2, prior, fold)})
 
-    inputs = scratch.write(featured(sample).select("y", "n", *FEATURES), "inputs")
+    inputs = scratch.write(featured(sample, _fold(F.col("u"))).select("y", "n", *FEATURES), "inputs")
     points = [k / BINS for k in range(1, BINS)]
     cuts = [sorted(set(x or [])) for x in inputs.agg(*[F.percentile_approx(f, points, 10_000) for f in FEATURES]).first()]
     bins = F.array(*[sum(((F.col(f) > x).cast("int") for x in c), F.lit(0)) for f, c in zip(FEATURES, cuts, strict=True)])
