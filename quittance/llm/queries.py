@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import license_scan, mixing
 from .ann import nearest_neighbours
 from .common import read
-from .fingerprints import fingerprint_edits
+from .fingerprints import fingerprint_edits, similar_groups
 from .license_texts import scan_license_texts
 from .near_dup import near_duplicates
 from .packing import pack_documents
@@ -45,6 +45,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
+def op6_similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The method's other half: bands of the same signatures joined, Jaccard verified on full sets."""
+    return similar_groups(read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -61,5 +66,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op2_license_texts, op3_near_dedup, op4_substring_dedup, op5_ann, op6_fingerprints, op7_toxicity, op8_mixing, op9_url_filter, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op2_license_texts, op3_near_dedup, op4_substring_dedup, op5_ann, op6_fingerprints, op6_similar_groups, op7_toxicity, op8_mixing, op9_url_filter, op10_quality)}
 ORACLE = {"op2_license_scan": license_scan.oracle(), "op8_mixing": mixing.ORACLE}
