@@ -54,6 +54,11 @@ def _ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     return np.maximum(2 * (part(a, na, p) + part(b, nb, p)), 0)
 
 
+def _weighted(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Weighted sum of rows in this thread: a product of matrices would start BLAS threads, which wait busily beside other tasks."""
+    return np.einsum("i,ij->j", weights, rows)
+
+
 def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All places of the ranges low to high, one after another, and their sizes."""
     size = high - low
@@ -121,7 +126,7 @@ class BlockMaxIndex:
         rare, rest = ids[at < 0], weights[at < 0]
         entry, size = _ranges(self.first_entry[rare], self.first_entry[rare + 1])
         block = self.block[entry]
-        bound = np.bincount(block, np.repeat(rest, size) * self.largest[entry], minlength=largest.shape[1]) + w @ largest[in_rows] + MARGIN
+        bound = np.bincount(block, np.repeat(rest, size) * self.largest[entry], minlength=largest.shape[1]) + _weighted(w, largest[in_rows]) + MARGIN
         least = 0.0
         # where few blocks stand out, scoring those first can spare the others
         if np.count_nonzero(bound >= bound.max() / 2) <= len(bound) // 4:
@@ -129,16 +134,16 @@ class BlockMaxIndex:
             some = some[some < self.size]
             use = np.isin(block, some[::BLOCK] // BLOCK)
             posting, many = _ranges(self.first_posting[entry[use]], self.first_posting[entry[use] + 1])
-            sums = self._sums(posting, np.repeat(np.repeat(rest, size)[use], many))[some] + w @ dense[in_rows[:, None], some]
+            sums = self._sums(posting, np.repeat(np.repeat(rest, size)[use], many))[some] + _weighted(w, dense[in_rows[:, None], some])
             least = np.partition(sums, len(sums) - k)[len(sums) - k] if len(sums) > k else 0.0
         some = np.flatnonzero(np.repeat(bound >= least, BLOCK)[: self.size])
         if 4 * len(some) < self.size:
             use = (bound >= least)[block]
             posting, many = _ranges(self.first_posting[entry[use]], self.first_posting[entry[use] + 1])
-            sums = self._sums(posting, np.repeat(np.repeat(rest, size)[use], many))[some] + w @ dense[in_rows[:, None], some]
+            sums = self._sums(posting, np.repeat(np.repeat(rest, size)[use], many))[some] + _weighted(w, dense[in_rows[:, None], some])
         else:
             posting, many = _ranges(self.first_posting[self.first_entry[rare]], self.first_posting[self.first_entry[rare + 1]])
-            sums = (self._sums(posting, np.repeat(rest, many)) + w @ dense[in_rows])[some]
+            sums = (self._sums(posting, np.repeat(rest, many)) + _weighted(w, dense[in_rows]))[some]
         least = np.partition(sums, len(sums) - k)[len(sums) - k] if len(sums) > k else 0.0
         # without a shared term a sum is exactly 0
         found = some[(sums >= least - MARGIN) & (sums > 0)]
