@@ -11,6 +11,7 @@ neighbour so far, which makes the search exact.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import math
 import pickle
@@ -319,6 +320,13 @@ def _fitted(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_co
 _models: dict[bytes, Model] = {}
 
 
+def _forget() -> None:
+    """Gives a worker's memory back before it serves another stage; its next task of this one builds the model again."""
+    _models.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def _model(pickled: bytes) -> Model:
     """The model, kept for the next task of this worker."""
     key = hashlib.blake2b(pickled, digest_size=16).digest()
@@ -363,5 +371,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_c
         for scored in _scored(shared, False)(texts()):
             clean = [s < threshold for s in scored.column("score").to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        batch = scored = None
+        _forget()
 
     return docs.mapInArrow(run, docs.schema)
