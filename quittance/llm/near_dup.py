@@ -172,7 +172,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = scratch.write(pairs.join(stars, ["u", "v"], "left_anti"), "open-pairs")
     more = scratch.write(_verified(pairs, sets, percent), "more-links")
     scratch.drop("sets", "open-prefix", "open-pairs", "open", "stars")
-    joined = scratch.write(connected_components(links.union(more), scratch, "cc2"), "joined")
+    # the stars of the first components stand for their links; without more links they are the answer
+    known = first.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    joined = scratch.write(connected_components(known.union(more), scratch, "cc2"), "joined")
     scratch.drop("links", "more-links", "first")
 
     of_class = classes.select("n_shingles", "k1", "k2", "node").join(joined, "node", "left").select("n_shingles", "k1", "k2", F.coalesce("component", "node").alias("component"))
