@@ -70,3 +70,10 @@ def test_freed_memory_goes_back(spark):
     before = held()
     assert give_back(spark) and held() < before + 8_000
     assert spark.range(9).count() == 9
+
+
+def test_scratch_tables_have_no_marker(spark):
+    scratch = Scratch(spark)
+    assert scratch.write(spark.range(5), "five").count() == 5
+    found = [p.name for p in Path(scratch.root.removeprefix("file://"), "five").iterdir()]
+    assert found and not [n for n in found if "_SUCCESS" in n]
