@@ -6,6 +6,7 @@ import contextlib
 import uuid
 from collections.abc import Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +16,23 @@ from ..session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: How scratch tables are written. Without its native library Hadoop starts a process for each permission that it sets, and until
+#: that process has become another program it counts with all memory of the JVM that started it. Nothing reads the marker of
+#: success. On file:, the plain local file system leaves new files the permission that they have; they get no checksum files.
+#: It is taken for these writes alone, so not from Hadoop's cache. Other stores have no use for these settings.
+_PLAIN = {
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
+
+
 def _delete(spark: SparkSession, where: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_made: list[list[str]] = []
+_made: list[list[Scratch]] = []
 
 
 @contextlib.contextmanager
@@ -31,21 +43,22 @@ def scratch_until_written(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        for root in _made.pop():
-            _delete(spark, root)
+        for scratch in _made.pop():
+            scratch.clear()
 
 
 class Scratch:
-    """Intermediate tables as Parquet in the shared folder, so that lost executors cost no lineage.
+    """Intermediate tables as Parquet in the shared folder, so that lost executors cost no lineage. Those of many parts that are
+    one step from such tables or the input can be blocks on the executors' disks instead.
 
     ``drop`` removes those that were only steps on the way. Tables that a returned frame still reads stay until the end of
     ``scratch_until_written`` around it, else until the driver's file system is closed.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/quittance-{uuid.uuid4().hex}"
+        self.spark, self.root, self.kept = spark, f"{shared_folder(spark)}/quittance-{uuid.uuid4().hex}", {}
         if _made:
-            _made[-1].append(self.root)
+            _made[-1].append(self)
         else:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
             system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -53,13 +66,26 @@ class Scratch:
             system.deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        # nothing reads the marker of success, and Hadoop may start processes in the driver to set its permission
-        df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{self.root}/{name}")
+        df.write.mode("overwrite").options(**_PLAIN).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``write``, but in blocks on the executors' disks when it is first read. Spark makes a lost block again from df, and
+        no file system starts a process for one."""
+        # a value of its own, as Spark would take the blocks of an earlier call for an equal plan, whatever its files hold by now
+        self.kept[name] = df.withColumn("_kept_by", F.lit(uuid.uuid4().int >> 65)).persist(StorageLevel.DISK_ONLY)
+        return self.kept[name].select(*df.columns)
+
     def drop(self, *names: str) -> None:
         for name in names:
-            _delete(self.spark, f"{self.root}/{name}")
+            if name in self.kept:
+                self.kept.pop(name).unpersist()
+            else:
+                _delete(self.spark, f"{self.root}/{name}")
+
+    def clear(self) -> None:
+        self.drop(*self.kept)
+        _delete(self.spark, self.root)
 
 
 def unnamed(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:

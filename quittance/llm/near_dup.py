@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.write(docs.mapInArrow(_signatures(n, bands), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
+    signed = scratch.keep(docs.mapInArrow(_signatures(n, bands), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
     classes = scratch.write(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
 
     rows = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
@@ -157,8 +157,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = scratch.write(docs.join(met.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(n), "node long, shingles array<long>"), "sets")
 
     stars = scratch.write(_stars(members, percent), "stars")
-    links = scratch.write(_verified(stars, sets, percent), "links")
-    first = scratch.write(connected_components(links, scratch, "cc1"), "first")
+    first = scratch.write(connected_components(_verified(stars, sets, percent), scratch, "cc1"), "first")
 
     member = members.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     bucket = member.groupBy("band", "key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("band", "key")
@@ -170,12 +169,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     large = still.where(F.col("n") > SMALL_BUCKET).select("node", "component").distinct()
     pairs = pairs.union(_by_prefix(large, sets, scratch, percent)).distinct()
     pairs = scratch.write(pairs.join(stars, ["u", "v"], "left_anti"), "open-pairs")
-    more = scratch.write(_verified(pairs, sets, percent), "more-links")
-    scratch.drop("sets", "open-prefix", "open-pairs", "open", "stars")
+    more = _verified(pairs, sets, percent)
     # the stars of the first components stand for their links; without more links they are the answer
     known = first.select(F.col("node").alias("u"), F.col("component").alias("v"))
     joined = scratch.write(connected_components(known.union(more), scratch, "cc2"), "joined")
-    scratch.drop("links", "more-links", "first")
+    scratch.drop("sets", "open-prefix", "open-pairs", "open", "stars", "first")
 
     of_class = classes.select("n_shingles", "k1", "k2", "node").join(joined, "node", "left").select("n_shingles", "k1", "k2", F.coalesce("component", "node").alias("component"))
     found = signed.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["n_shingles", "k1", "k2"], "left")
