@@ -10,21 +10,25 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import local_files, shared_folder
 
 #: Characters that end a word: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: How scratch tables are written. Without its native library Hadoop starts a process for each permission that it sets, and until
-#: that process has become another program it counts with all memory of the JVM that started it. Nothing reads the marker of
-#: success. On file:, the plain local file system leaves new files the permission that they have; they get no checksum files.
-#: It is taken for these writes alone, so not from Hadoop's cache. Other stores have no use for these settings.
-_PLAIN = {
-    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
-    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
-    "fs.file.impl.disable.cache": "true",
-}
+#: How scratch tables are written: nothing reads the marker of success.
+_MARKER = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
+
+def _plain(spark: SparkSession, where: str) -> dict[str, str]:
+    """Settings for writing scratch tables. Without its native library Hadoop starts a process for each permission that it sets, and
+    until that process has become another program it counts with all memory of the JVM that started it. On file:, a plain local
+    file system sets them without; files get no checksum files. It is taken for these writes alone, so not from Hadoop's cache.
+    Other stores keep their own."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        return _MARKER
+    return _MARKER | {"fs.file.impl": local_files(spark), "fs.file.impl.disable.cache": "true"}
 
 
 def _delete(spark: SparkSession, where: str) -> None:
@@ -57,16 +61,19 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.kept = spark, f"{shared_folder(spark)}/quittance-{uuid.uuid4().hex}", {}
+        self.plain = _plain(spark, self.root)
         if _made:
             _made[-1].append(self)
         else:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-            system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            system.mkdirs(path)
-            system.deleteOnExit(path)
+            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+            path, own = jvm.org.apache.hadoop.fs.Path(self.root), jvm.org.apache.hadoop.conf.Configuration(conf)
+            for key, value in self.plain.items():
+                own.set(key, value)
+            path.getFileSystem(own).mkdirs(path)
+            path.getFileSystem(conf).deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").options(**_PLAIN).parquet(f"{self.root}/{name}")
+        df.write.mode("overwrite").options(**self.plain).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:

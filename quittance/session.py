@@ -14,6 +14,19 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
+_local_files: dict[str, str] = {}
+
+#: Hadoop's plain local file system, but permissions are set by the JVM itself.
+_PLAIN = "org.apache.hadoop.fs.RawLocalFileSystem"
+_SOURCE = """
+package quittance;
+
+public class LocalFiles extends org.apache.hadoop.fs.RawLocalFileSystem {
+    public void setPermission(org.apache.hadoop.fs.Path path, org.apache.hadoop.fs.permission.FsPermission permission) throws java.io.IOException {
+        java.nio.file.Files.setAttribute(pathToFile(path).toPath(), "unix:mode", Integer.valueOf(permission.toShort()), new java.nio.file.LinkOption[0]);
+    }
+}
+"""
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -57,6 +70,29 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(key)
 
 
+def local_files(spark: SparkSession) -> str:
+    """The class of a local file system that starts no process, on the driver and all executors; compiled by Spark's own compiler
+    and handed out once per application, by Spark's file server. Where the driver's class loader takes no classes, Hadoop's own."""
+    context, jvm = spark.sparkContext, spark.sparkContext._jvm
+    key = context.applicationId
+    if key not in _local_files:
+        loader = context._jsc.hadoopConfiguration().getClassLoader()
+        try:
+            compiler = jvm.org.codehaus.janino.SimpleCompiler()
+            compiler.setParentClassLoader(loader)
+            compiler.cook(_SOURCE)
+            target = os.path.join(tempfile.mkdtemp(), "quittance_local_files.jar")
+            with zipfile.ZipFile(target, "w") as z:
+                for name, code in compiler.getBytecodes().items():
+                    z.writestr(f"{name.replace('.', '/')}.class", bytes(code))
+            loader.addURL(jvm.java.io.File(target).toURI().toURL())
+            context._jsc.addJar(target)
+            _local_files[key] = "quittance.LocalFiles"
+        except (Py4JError, TypeError):  # a name that the JVM doesn't have is a package, which can't be called
+            _local_files[key] = _PLAIN
+    return _local_files[key]
+
+
 def give_back(spark: SparkSession) -> bool:
     """Hands memory that the driver's JVM has freed outside its heap back to the system; its allocator keeps it otherwise, after
     much compiling some 200 MB. False where the JVM has no command for it (before 17.0.9, or not on glibc)."""
