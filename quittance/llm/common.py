@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +99,25 @@ class Scratch:
         _delete(self.spark, self.root)
 
 
+def memory_back() -> None:
+    """Hands what a Python worker has freed back to the system; its allocators keep it otherwise, while the worker waits idly."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over the batches of a task, then memory_back, when nothing of run is held any more."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        memory_back()
+
+    return wrapped
+
+
 def unnamed(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
     """df with its columns named c0, c1 and so on, so that no name of an operator's own can clash with one of them, and what the
     given columns are called now. toDF(*df.columns) gives the names back."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, unnamed
+from .common import Scratch, giving_back, unnamed
 from .components import connected_components
 from .wordhash import chunks, mix, shingle_sets
 
@@ -52,6 +52,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(n: int, band_keys: Callable[[np.ndarray], np.ndarray]):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(1)):
@@ -71,6 +72,7 @@ def _signatures(n: int, band_keys: Callable[[np.ndarray], np.ndarray]):
 
 
 def _sets(n: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(1)):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import memory_back, text_bytes
 
 #: Tokens of a sequence, the id that ends a document, text bytes of a group, least tokens worth a cut.
 LENGTH, END, GROUP_BYTES, LEAST_CUT = 2048, 1, 4 << 20, 32
@@ -122,7 +122,7 @@ def pack_lengths(lengths: list[int], capacity: int = LENGTH) -> list[tuple[int,
 
 
 def _pack(name: str, length: int, with_ids: bool):
-    def run(key, table):
+    def packed(key, table):
         encode = encoder(name)
         order = sorted(range(table.num_rows), key=lambda k: ((i := table["doc_id"][k].as_py()) is None, i or 0, table["text"][k].as_py() or ""))
         table = table.take(pa.array(order, pa.int64()))
@@ -138,6 +138,11 @@ def _pack(name: str, length: int, with_ids: bool):
             columns["ids"] = pa.array([ids[k][a : a + n].astype(np.int32) for k, a, n in zip(doc, start, size, strict=True)], pa.list_(pa.int32()))
         return pa.table(columns)
 
+    def run(key, table):
+        found = packed(key, table)
+        memory_back()
+        return found
+
     return run
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, unnamed
+from .common import Scratch, giving_back, unnamed
 from .wordhash import BASE, INVERSE, Chunk, chunks, grams, mix, powers
 
 #: Words of a window, of a gram; windows of a segment; words that a shard indexes or streams, about.
@@ -64,6 +64,7 @@ def segments(chunk: Chunk) -> tuple[np.ndarray, ...]:
     return rows[first], start[first], size, name[first].view(np.int64), range_hashes(words, at[first], at[first] + size + WINDOW - 1).view(np.int64)
 
 
+@giving_back
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in chunks(batch.column(2)):
@@ -222,6 +223,7 @@ def _shard(key, table):
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _RANGES, strict=True)], schema=_RANGES)
 
 
+@giving_back
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, tk, text, wanted) to the words of each wanted segment, as they stand in the text, and the hashes of its windows.
     Rows of equal id and text come one after another; one of them is cut."""
@@ -305,6 +307,7 @@ def _kept_words(text: str | None, ranges: list | None) -> tuple[list[bytes], int
     return [w for w, k in zip(words, keep, strict=True) if k], int(len(words) - keep.sum())
 
 
+@giving_back
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list = [[], [], []]
@@ -343,6 +346,7 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     ranges = repeated_ranges(_keyed(rows, i, text), Scratch(docs.sparkSession)).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("ranges").alias("_ranges"))
     width, k = len(rows.columns), rows.columns.index(text)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [t.as_py() if not r.is_valid else b" ".join(_kept_words(t.as_py(), r.as_py())[0]).decode() for t, r in zip(batch.column(k), batch.column(width), strict=True)]

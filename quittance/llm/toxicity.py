@@ -11,7 +11,6 @@ neighbour so far, which makes the search exact.
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 import math
 import pickle
@@ -25,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import memory_back
 from .labelled import held_out, in_order, training_table
 
 #: Labelled documents learned from at most; neighbours; examples in a block; blocks that are scored first; folds of calibration.
@@ -323,8 +323,7 @@ _models: dict[bytes, Model] = {}
 def _forget() -> None:
     """Gives a worker's memory back before it serves another stage; its next task of this one builds the model again."""
     _models.clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+    memory_back()
 
 
 def _model(pickled: bytes) -> Model:
